@@ -77,11 +77,16 @@ def _units(text: str):
                     yield part, 0
 
 
+class _Ranks(dict):
+    """Ranks by word; words beyond the vocabulary share the rank after it."""
+
+    def __missing__(self, _):
+        return len(self) + 1
+
+
 def _features(ranks, check: bool):
     def run(batches):
-        rank = ranks.value
-        beyond = len(rank) + 1
-        get = rank.get
+        get = _Ranks(ranks.value).__getitem__
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             at, n, cover, half, length, sentence = [], [], [], [], [], []
@@ -89,11 +94,11 @@ def _features(ranks, check: bool):
                 if check and not english_prose(t):
                     continue
                 for ws, sl in _units(t):
-                    r = sorted([get(w, beyond) for w in ws])
+                    r = sorted(map(get, ws))
                     m = len(r)
                     at.append(k)
                     n.append(m)
-                    cover.append(r[min(m - 1, int(np.ceil(SHARE * m)) - 1)])
+                    cover.append(r[-int(-SHARE * m // 1) - 1])
                     half.append(r[(m - 1) // 2])
                     length.append(sum(map(len, ws)) / m)
                     sentence.append(sl)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -50,8 +49,8 @@ _TIGHT = re.compile(r"[^\s,],(?=[^\s,])")
 _LISTING = re.compile(r"\s/\s|[;,]\s|\s[·•|]\s")
 
 
-def _token(tok: str) -> tuple[int, int, int]:
-    """(flags, letters, bin) of a token cut at blanks."""
+def _token(tok: str) -> tuple[int, int]:
+    """(flags, letters) of a token cut at blanks."""
     core = _CORE.match(tok).group(1)
     low = core.lower()
     flags = 0
@@ -82,7 +81,7 @@ def _token(tok: str) -> tuple[int, int, int]:
         flags |= LONG
     if core[:1].isupper():
         flags |= STARTS
-    return flags, len(core) if flags & WORD else 0, zlib.crc32(low.encode("utf-8", "replace")) % BINS
+    return flags, len(core) if flags & WORD else 0
 
 
 def _damaged(core: str) -> bool:
@@ -91,15 +90,45 @@ def _damaged(core: str) -> bool:
     return odd >= 1
 
 
-class _Cache(dict):
+# A token's counts in one integer, FIELD bits each, so that a line's counts are one sum.
+FIELD = 28
+_MASK = (1 << FIELD) - 1
+_PACKED = (WORD, COMMONW, NUMBER, TERMINAL, DAMAGED, SINGLE, SEPARATOR, NAV, STARTS)
+
+
+class _Packed(dict):
+    def __missing__(self, tok):
+        flags, letters = _token(tok)
+        v = letters
+        for k, f in enumerate(_PACKED, 1):
+            if flags & f:
+                v |= 1 << FIELD * k
+        if flags & LONG:
+            v |= len(tok) << FIELD * 10
+        if len(self) < 300_000 and len(tok) <= 64:
+            self[tok] = v
+        return v
+
+
+class _Bins(dict):
     def __missing__(self, tok):
-        v = _token(tok)
-        if len(self) < 500_000 and len(tok) <= 64:
+        v = zlib.crc32(_CORE.match(tok).group(1).lower().encode("utf-8", "replace")) % BINS
+        if len(self) < 300_000 and len(tok) <= 64:
             self[tok] = v
         return v
 
 
-_TOKENS = _Cache()
+class _Foreign(dict):
+    def __missing__(self, tok):
+        w = tok.lower().strip(".,;:!?\"'()")
+        v = sum((w in words) << FIELD * k for k, words in enumerate(FOREIGN.values()))
+        if len(self) < 300_000 and len(tok) <= 64:
+            self[tok] = v
+        return v
+
+
+_COUNTS, _BIN, _ABROAD = _Packed(), _Bins(), _Foreign()
+
 
 # The counts of a text; each is a sum over its tokens or lines.
 NAMES = (
@@ -130,44 +159,22 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
     toks = line.split()
     if not toks:
         return
-    get = _TOKENS
-    words = letters = common = numbers = terms = damaged = singles = nav = starts = seps = longc = 0
+    packed = sum(map(_COUNTS.__getitem__, toks))
+    letters, words, common, numbers, terms, damaged, singles, seps, nav, starts, longc = (packed >> FIELD * k & _MASK for k in range(11))
+    for b in set(map(_BIN.__getitem__, toks)):
+        bins[b] += 1
     foreign = None
-    for tok, c in Counter(toks).items() if len(toks) > 40 else ((t, 1) for t in toks):
-        f, n, b = get[tok]
-        bins[b] += c
-        if f & WORD:
-            words += c
-            letters += n * c
-            if f & COMMONW:
-                common += c
-        if f & ~(WORD | COMMONW | STARTS):
-            if f & NUMBER:
-                numbers += c
-            if f & TERMINAL:
-                terms += c
-            if f & DAMAGED:
-                damaged += c
-            if f & SINGLE:
-                singles += c
-            if f & NAV:
-                nav += c
-            if f & SEPARATOR:
-                seps += c
-            if f & LONG:
-                longc += c * len(tok)
-        if f & STARTS:
-            starts += c
     n = len(toks)
     last = toks[-1]
-    ended = 1 if _TOKENS[last][0] & TERMINAL else 0
+    ended = 1 if _COUNTS[last] >> FIELD * 4 & 1 else 0
     item = 1 if _ITEM.match(line) or _NUMBERED.match(line) else 0
-    toc = 1 if _DOTS.search(line) and (last.isdigit() or _TOKENS[last][0] & NUMBER) else 0
+    toc = 1 if (".." in line or ". ." in line or "…" in line) and _DOTS.search(line) and (last.isdigit() or _COUNTS[last] >> FIELD * 3 & 1) else 0
     label = 1 if _LABEL.match(line) else 0
     cells = 0
     if not item and not toc:
-        gaps = len(_CELLS.findall(line)) + len(_GAP.findall(line))
-        tight = len(_TIGHT.findall(line)) if "," in line else 0
+        gaps = len(_CELLS.findall(line)) if "|" in line or "&" in line or "\t" in line else 0
+        gaps += len(_GAP.findall(line)) if "   " in line or "\t" in line else 0
+        tight = len(_TIGHT.findall(line)) if common <= 1 and "," in line else 0
         if seps >= 1 or gaps >= 1 or (tight >= 1 and common <= 1):
             cells = 1 if common * 5 < n or gaps + seps >= 3 else 0
     listing = 0
@@ -175,8 +182,7 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
         listing = len(_LISTING.findall(line))
         listing = 1 if listing >= 4 and terms <= 1 or label else 0
     if common * 4 < words and words >= 8:
-        low = line.lower().split()
-        foreign = {k: sum(w.strip(".,;:!?\"'()") in v for w in low) for k, v in FOREIGN.items()}
+        foreign = sum(map(_ABROAD.__getitem__, toks))
     if cells or toc:
         damaged = longc = 0
     chars = len(line)
@@ -190,8 +196,8 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
         if v:
             sums[_I[k]] += v
     if foreign:
-        for k, v in foreign.items():
-            sums[_I[k]] += v
+        for k, name in enumerate(FOREIGN):
+            sums[_I[name]] += foreign >> FIELD * k & _MASK
 
 
 def chunk_stats(text: str) -> Stats:
