@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from .common import materialize, salted_join
 from .words import banded_distance, normal_words
 
 SHARE = 0.14
+SPARE = 3
+MAX_SEGMENT = 5
 SALTS = 8
 _FOOTER = re.compile(r"\n\s*\n[^\n]*(?:json|answer|return|respond|output)[^\n]*:?\s*$", re.I)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -25,8 +28,8 @@ def errors(n: int, share: float = SHARE) -> int:
 
 
 def segment_length(n: int, share: float = SHARE) -> int:
-    """Words of a segment, so that k + 1 segments fit into n words."""
-    return max(1, n // (errors(n, share) + 1))
+    """Words of a segment, so that k + SPARE segments fit into n words."""
+    return max(1, min(MAX_SEGMENT, n // (errors(n, share) + SPARE)))
 
 
 def passage_of(instruction: str) -> str:
@@ -116,6 +119,9 @@ def _verify(share: float):
             for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 x, y = a.split(" "), b.split(" ")
                 limit = errors(len(x), share)
+                # words of one text that the other lacks each cost an edit
+                if max(len(x), len(y)) - (Counter(x) & Counter(y)).total() > limit:
+                    continue
                 if banded_distance(x, y, limit) <= limit:
                     keep.append(k)
             at = pa.array(keep, pa.int64())
@@ -136,9 +142,9 @@ def find_overlaps(pairs: DataFrame, id_col: str, text_col: str, split_col: str,
     """Passages of evaluation rows that training rows carry too, the same or within `share` of their words in edits.
 
     Equal passages (in their normal form) become one class first, so copies cost nothing. Edit-distance segment join: every evaluation
-    class is cut into more than k segments and the k + 1 that are rarest in training are kept (at least one of any k + 1 must
-    survive k edits); training stretches of that length match at positions shifted by at most k; candidates are verified by
-    dynamic programming in the band. All positions of whole passages are used; no candidate is dropped.
+    class is cut into at least k + SPARE segments and the k + SPARE that are rarest in training are kept (of any k + c segments, c
+    survive k edits); training stretches of that length match at positions shifted by at most k, and a pair is a candidate with
+    SPARE different matches; candidates are verified by dynamic programming in the band. All positions of whole passages are used.
 
     Rows with a null id, text or split, and blank passages, take no part; a split other than `train` counts as evaluation. Empty
     tables give empty results.
@@ -158,8 +164,9 @@ def find_overlaps(pairs: DataFrame, id_col: str, text_col: str, split_col: str,
     hits = materialize(wins.join(segs.select("h").distinct(), "h", "left_semi"), "hits")
     freq = hits.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
     rare = Window.partitionBy("e").orderBy(F.coalesce("f", F.lit(0)), "at")
-    chosen = segs.join(freq, "h", "left").withColumn("__r", F.row_number().over(rare)).where("__r <= k + 1 and f is not null")
-    cand = chosen.join(hits, "h").where("abs(pos - at) <= k and abs(n - m) <= k and e <> t").select("e", "t").distinct()
+    chosen = segs.join(freq, "h", "left").withColumn("__r", F.row_number().over(rare)).withColumn("need", F.least(F.count(F.lit(1)).over(Window.partitionBy("e")) - F.col("k"), F.lit(SPARE))).where(f"__r <= k + {SPARE} and f is not null")
+    cand = chosen.join(hits, "h").where("abs(pos - at) <= k and abs(n - m) <= k and e <> t")
+    cand = cand.groupBy("e", "t").agg(F.min("need").alias("need"), F.count_distinct("at").alias("c")).where("c >= need").select("e", "t")
     texts = classes.select("cls", "text")
     both = cand.join(texts.select(F.col("cls").alias("e"), F.col("text").alias("a")), "e").join(texts.select(F.col("cls").alias("t"), F.col("text").alias("b")), "t")
     near = both.select("e", "t", "a", "b").mapInArrow(_verify(share), "e bigint, t bigint")
