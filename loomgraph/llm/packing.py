@@ -55,11 +55,12 @@ def token_sizes(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = TO
 # --- the plan, made from histograms of sizes on the driver: its input is bounded by the capacity, not by the data ---
 
 
-def linear_groups(sizes: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> list[tuple[int, int, int]]:
-    """Groups of equal cardinality over large sizes in falling order: (rounded size, first rank, last rank + 1)."""
+def linear_groups(sizes: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> tuple[list[tuple[int, int, int]], int]:
+    """Groups of equal cardinality over large sizes in falling order: (rounded size, first rank, last rank + 1), and their
+    cardinality (groups of one rounded size are joined)."""
     n = int(counts.sum())
     if not n:
-        return []
+        return [], 1
     per = -(-n // groups)
     ends = np.cumsum(counts)
     out = []
@@ -72,7 +73,7 @@ def linear_groups(sizes: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -
             merged[-1] = (size, merged[-1][1], hi)
         else:
             merged.append((size, lo, hi))
-    return merged
+    return merged, per
 
 
 def configurations(sizes: list[int], capacity: int, most: int) -> list[tuple[int, ...]]:
@@ -223,7 +224,7 @@ def _pack_one(spark, sizes: DataFrame, limit: str, capacity: int) -> DataFrame:
     least = max(1, int(capacity * LARGE))
     big = [(s, c) for s, c in hist if s > least]
     small = [(s, c) for s, c in hist if s <= least]
-    groups = linear_groups(np.array([s for s, _ in big]), np.array([c for _, c in big]))
+    groups, per = linear_groups(np.array([s for s, _ in big]), np.array([c for _, c in big]))
     plan = solve([g[0] for g in groups], [g[2] - g[1] for g in groups], capacity)
     slots, n_big = [], 0
     used = [g[1] for g in groups]
@@ -239,10 +240,11 @@ def _pack_one(spark, sizes: DataFrame, limit: str, capacity: int) -> DataFrame:
         before.append((s, run))
         run += c
     first = spark.createDataFrame(before or [(0, 0)], "n bigint, before bigint")
-    slot = spark.createDataFrame([(lo, hi, at) for _, lo, hi, at in slots] or [(0, 0, 0)], "lo bigint, hi bigint, at bigint")
+    cells = [(cell, lo, hi, at) for _, lo, hi, at in slots for cell in range(lo // per, (hi - 1) // per + 1)]
+    slot = spark.createDataFrame(cells or [(-1, 0, 0, 0)], "cell bigint, lo bigint, hi bigint, at bigint")
     # both tables are bounded by the capacity and the number of configurations
     large = items.where(F.col("n") > least).join(F.broadcast(first), "n").withColumn("r", F.col("before") + F.col("rank"))
-    large = large.join(F.broadcast(slot), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    large = large.withColumn("cell", F.floor(F.col("r") / per)).join(F.broadcast(slot), "cell").where("r >= lo and r < hi")
     large = large.select("id", "piece_no", "n", (F.col("at") + F.col("r") - F.col("lo")).alias("container_id"))
     large = materialize(large, "pack-large")
 
