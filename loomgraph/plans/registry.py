@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("q_text",)
+
+
+def _modules():
+    return [importlib.import_module(f"{__package__}.{m}") for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _modules() for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["chk7_chunk_kind"](spark, folder)
