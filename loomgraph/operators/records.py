@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.fuzzy import ratio
 
@@ -75,7 +76,7 @@ def fuzzy_merges(names: DataFrame, threshold: float = 90.0) -> DataFrame:
 
     Candidates share a rare trigram within the length band that the ratio allows; the ratio itself (2 x LCS over the lengths) is exact.
     """
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y) for x, y in zip(a, b)])
 

@@ -104,7 +104,7 @@ def directions(pairs: DataFrame, texts: DataFrame, m: DataFrame, concepts: DataF
     chunk that names each (`texts`: key.., ord, text), then difficulty, then the alphabet. `concepts`: id, name, difficulty."""
     t = texts.select(F.struct(*key).alias("k"), "ord", F.lower("text").alias("t"))
     c = concepts.select("id", F.lower(F.trim("name")).alias("n"), F.coalesce(difficulty_rank(F.col("difficulty")), F.lit(2)).alias("r"))
-    near = m.select(F.struct(*key).alias("k"), "id").join(c, "id").join(t, "k").withColumn("p", F.expr("instr(t, n)")).where("p > 0")
+    near = m.select(F.struct(*key).alias("k"), "id").join(c, "id").join(t, "k").withColumn("p", F.call_function("instr", F.col("t"), F.col("n"))).where("p > 0")
     near = near.select("k", "ord", "id", "p")
     firsts = near.groupBy("id").agg(F.min("ord").alias("o"))
     p = pairs.select("a", "b").distinct()

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_text", "q_records", "q_graph", "q_relations")
+MODULES = ("q_text", "q_records", "q_graph", "q_relations", "q_retrieval")
 
 
 def _modules():
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["chk7_chunk_kind"](spark, folder)
+    return queries()["cmp4_documents_per_concept"](spark, folder)
