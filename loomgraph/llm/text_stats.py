@@ -57,7 +57,7 @@ def _token(tok: str) -> tuple[int, int]:
     letters = sum(ch.isalpha() for ch in core)
     if core and _WORD.match(core):
         flags |= WORD
-        if low in COMMON:
+        if low in COMMON and (len(low) > 1 or len(tok) == 1 or tok[-1] != "."):
             flags |= COMMONW
         if len(core) == 1 and low not in ("a", "i"):
             flags |= SINGLE
@@ -184,7 +184,7 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
     if common * 4 < words and words >= 8:
         foreign = sum(map(_ABROAD.__getitem__, toks))
     if cells or toc:
-        damaged = longc = 0
+        damaged = longc = singles = 0
     chars = len(line)
     for k, v in (
         ("tokens", n), ("words", words), ("letters", letters), ("common", common), ("numbers", numbers), ("terminals", terms), ("damaged", damaged),
@@ -340,7 +340,7 @@ def passage_kind() -> Column:
         .when(share("nav", "tokens", 0.5) & (F.col("terminals") == 0), "junk")
         .when((F.col("words") >= 20) & (F.col("distinct_words") <= 30) & (F.col("distinct_words") * 4 <= F.col("words")) & ~share("cells", "lines", 0.5), "junk")
         .when(share("cells", "lines", 0.5) & ~sentences, "table")
-        .when((F.col("items") + F.col("toc") + F.col("listings") >= F.lit(0.5) * F.col("lines")) & (F.col("item_words") * 6 < F.col("tokens")) & ~sentences, "list")
+        .when((F.col("items") + F.col("toc") + F.col("listings") >= F.lit(0.5) * F.col("lines")) & (F.col("item_words") * 5 < F.col("tokens")) & ~sentences, "list")
         .when((F.col("items") + F.col("toc") >= F.lit(0.5) * F.col("lines")) & (F.col("terminals") == 0), "list")
         .when(share("plain_short", "lines", 0.8) & (F.col("lines") >= 4) & (F.col("terminals") == 0), "list")
         .when(~share("common", "words", 0.05) & ((F.col("de") + F.col("es") + F.col("fr") + F.col("pt")) * 8 < F.col("words")) & (F.col("words") >= 8), "list")

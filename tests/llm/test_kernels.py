@@ -1,0 +1,128 @@
+"""Kernels against brute force."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomgraph.llm import canon_match, leaks, overlap, pairs, text_stats
+from loomgraph.llm.words import banded_distance, lcs_length, masks, myers_search, normal_words, osa_distance
+
+
+def distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+WORDS = st.lists(st.sampled_from("abcd"), max_size=14)
+
+
+@given(WORDS, WORDS, st.integers(0, 9))
+def test_banded_distance(a, b, k):
+    d = distance(a, b)
+    assert banded_distance(a, b, k) == (d if d <= k else k + 1)
+
+
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_myers_search(p, t):
+    want = min(distance(p, t[i:j]) for i in range(len(t) + 1) for j in range(i, len(t) + 1))
+    assert myers_search(masks(p), len(p), t)[0] == want
+
+
+@given(WORDS, WORDS)
+def test_lcs(a, b):
+    if a:
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert lcs_length(masks(a), len(a), b) == table[-1][-1]
+
+
+def test_osa_counts_a_swap_once():
+    assert osa_distance("graph", "grpah", 2) == 1 and osa_distance("abc", "xyz", 2) == 3
+
+
+def test_normal_words_fold_formatting():
+    assert normal_words("The sort-\ned “Simpliﬁed” non-stationary TEXT_x") == ["the", "sorted", "simplified", "nonstationary", "text", "x"]
+
+
+@settings(max_examples=150)
+@given(st.text("ab .\n\t|&,1-•–wW", max_size=60), st.lists(st.integers(0, 60), max_size=5))
+def test_statistics_add_up_over_chunks(text, cuts):
+    at = sorted({min(c, len(text)) for c in cuts} | {0, len(text)})
+    parts = [text_stats.chunk_stats(text[a:b]) for a, b in zip(at, at[1:])] or [text_stats.chunk_stats("")]
+    left = parts[0]
+    for p in parts[1:]:
+        left = text_stats.merge(left, p)
+    right = parts[-1]
+    for p in reversed(parts[:-1]):
+        right = text_stats.merge(p, right)
+    whole, n = text_stats.text_stats(text)
+    for s in (text_stats.close(left), text_stats.close(right)):
+        assert s.sums == whole and text_stats.distinct(s.bins) == n
+
+
+@given(st.integers(1, 400))
+def test_segments_leave_room_for_the_edits(n):
+    k, q = overlap.errors(n), overlap.segment_length(n)
+    assert n // q >= min(k + overlap.SPARE, n)
+
+
+@pytest.mark.parametrize(
+    "v, want",
+    [
+        ("Search, Graph", "graph search"), ("A.P.M.", "apm"), ("W.R.F..", "wrf"), ("the concept of node_propagation", "node propagation"), ("TensorRouting", "tensor routing"), ("Paired Signal Voting (PSV)", "paired signal voting"),
+        ("Late. Margin Encoding", "late. margin encoding"), ("“Uniﬁed Context Tuning” – overview", "unified context tuning"), ("", ""), (" ", ""),
+    ],
+)
+def test_normal_value(v, want):
+    assert canon_match.normal_value(v) == want
+
+
+def test_name_cost():
+    known = {"masking", "graph", "search", "voting"}
+    assert canon_match.name_cost("grahp search", "graph search", known) == 1 and canon_match.name_cost("graph voting", "graph search", known) is None
+    assert canon_match.name_cost("kernel tasting", "kernel masking", set()) is None and canon_match.name_cost("elasticcontext", "elastic context", set()) == 0.05
+
+
+ITEM = " ".join(f"w{i}" for i in range(60))
+
+
+def damaged(words, every):
+    return [("zz" if i % every == every - 1 else w) for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (ITEM, True), ("x y " * 50 + ITEM.upper().replace(" ", ",\n") + " end " * 30, True), (" ".join(ITEM.split()[:40]), True), (" ".join(ITEM.split()[:20]), False),
+        (" ".join(damaged(ITEM.split(), 9)), True), (" ".join(reversed(ITEM.split())), False), ("", False), ("w1 w2 w3", False), (" ".join(w + " gap" * 30 for w in ITEM.split()), False),
+    ],
+)
+def test_item_index(text, found):
+    assert bool(leaks.ItemIndex([(7, ITEM), (8, None), (9, "too short")]).search([text, ""])) is found
+
+
+@pytest.mark.parametrize(
+    "prompt, answer, want",
+    [
+        ("Explain.\nTEXT: The graph is a set of nodes and edges that the model reads in order.", "[]", None), ("TEXT: x", None, "empty"), ("TEXT: x", "```json\n```", "empty"), ("TEXT: x", "<think>\n</think>", "empty"),
+        ("TEXT: x", "Sorry, I can't help with this passage.", "refusal"), ("TEXT: x", '{"error": "Regrettably, I am not able to produce these records."}', "refusal"), ("TEXT: x", "[{\"concept_name\": \"A", "truncated"),
+        ("TEXT: x", "The model reads the nodes in", "truncated"), ("TEXT: x", "The model reads the nodes in order.", None),
+        ("TEXT: The graph is a set of nodes and edges that the model reads in order.", "> the graph is a set of nodes and edges that the model reads in order", "copy"),
+        ("TEXT: The graph is a set of nodes and edges that the model reads in order.", "Das Modell liest die Knoten und die Kanten, weil sie nicht geordnet sind und der Graph neu ist.", "language"),
+        ("TEXT: Das Modell liest die Knoten und die Kanten, weil sie nicht geordnet sind.", "Wer die Knoten kennt, versteht auch das Modell und die Kanten.", None),
+    ],
+)
+def test_defects(prompt, answer, want):
+    assert pairs.defect(prompt, None, answer) == want
+
+
+def test_a_preview_cut_at_its_limit_is_whole():
+    cut = '[{"concept_name": "A", "summary": "' + "x" * 185
+    assert pairs.defect(None, "text", cut, len(cut)) is None and pairs.defect(None, "text", cut, len(cut) + 1) == "truncated" and pairs.defect(None, None, None, 220) == "empty"

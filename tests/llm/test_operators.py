@@ -1,0 +1,278 @@
+"""Operators against brute force, and their defined results at the edges: nulls, ties, repeats, empty tables, clashing columns."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import canon_match, common, dups, leaks, mix, overlap, packing, pairs, reading, splits, text_stats
+from loomgraph.llm.words import banded_distance
+
+
+def test_source_spellings(spark):
+    rows = [("papers/A1_b.pdf", "chunk_007"), ("./papers\\A1_b.pdf ", "Chunk 7"), ("pdfs/papers%2FA1_B.PDF", "chunk007"), ("A1_b.pdf", "CHUNK-7"), (None, "papers/A1_b.pdf:chunk_7"), ("unknown", "papers/A1_b.pdf_chunk_007"), ("", "chunk_1"), (None, None)]
+    df = spark.createDataFrame(rows, "d string, c string")
+    got = df.select(F.coalesce(common.source_name(F.col("d")), common.chunk_source(F.col("c"))).alias("s"), common.chunk_number(F.col("c")).alias("n"), common.source_category(F.col("d")).alias("k")).collect()
+    assert [r.s for r in got[:6]] == ["a1_b.pdf"] * 6 and [r.n for r in got[:6]] == ["7"] * 6 and got[6].s in (None, "") and got[7].s is None and got[0].k == "papers" and got[3].k is None
+
+
+def test_running_offset(spark):
+    rows = [(i, i % 3, 1 + i % 5) for i in range(200)]
+    got = common.running_offset(spark.createDataFrame(rows, "id int, c int, w int"), ["c"], ["id"], "w", "at", 8).collect()
+    for c in range(3):
+        mine = sorted((r.at, r.w) for r in got if r.c == c)
+        assert mine[0][0] == 0 and all(a + w == b for (a, w), (b, _) in zip(mine, mine[1:]))
+
+
+# --- 1 ---
+
+
+def test_mix_reaches_shares_under_the_caps(spark):
+    rng = random.Random(1)
+    rows = [(i, f"{'abc'[i % 7 % 3]}/f{i % 5}.txt", rng.randint(50, 150)) for i in range(3000)] + [(9001, None, 5), (9002, "f1.txt", 70), (9003, "zzz/other.txt", 9), (None, "a/f0.txt", None)]
+    df = spark.createDataFrame(rows, "id int, doc string, n int").withColumn("source_category", F.lit("clash"))
+    t = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 4), ("empty", 0.1, 2)], "source_category string, target_share double, max_repeats int")
+    emitted, report = mix.mix(df, t, "id", "doc", F.col("n"))
+    r = {x.source_category: x for x in report.collect()}
+    assert max(abs(r[k].actual_share - s) for k, s in (("a", 0.5), ("b", 0.3), ("c", 0.2))) < 0.02 and r["empty"].copies == 0
+    most = emitted.groupBy("id", "source_category").agg(F.max("copy_no").alias("m")).collect()
+    assert all(x.m <= {"a": 3, "b": 2, "c": 4}[x.source_category] for x in most) and not [x for x in most if x.id in (9001, 9003)]
+    assert sorted(map(str, emitted.collect())) == sorted(map(str, mix.mix(df, t, "id", "doc", F.col("n"))[0].collect()))
+    e, rep = mix.mix(df.limit(0), t, "id", "doc", F.col("n"))
+    assert e.count() == 0 and rep.count() == 4 and mix.mix(df, t.limit(0), "id", "doc", F.col("n"))[0].count() == 0
+
+
+# --- 2 ---
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("The model reads the nodes in order. It then updates each of the weights once.", "prose"), ("1. Graph Search\n2) Token Pooling\n3. Kernel Masking", "list"), ("[1] Tir, A. and Rud, B. Some trajectory. 1998, pp. 87-138.\n[2] Hes, D. Other. 2000, pp. 1-9.", "list"),
+        ("1.1 Start ........ 3\n1.2 More .......... 9", "list"), ("Keywords: alpha one; beta two; gamma three; delta four; eps five; zeta six", "list"), ("a,1.5,20%\nb,2,31%\nc,3.1,-", "table"), ("x | 1 | 2\ny | 3 | 4", "table"), ("h\ti\tj\nk\t1\t2", "table"),
+        ("Home Menu Search Log in « Prev Next » Cookies", "junk"), ("node " * 40, "junk"), ("N o t a l l o f t h e m a t t e r h e r e", "junk"), ("</div></span>\n&nbsp;&nbsp;\n0x11b6eaa4", "junk"), ("", None), ("  \n ", None),
+    ],
+)
+def test_passage_kinds(spark, text, kind):
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    assert text_stats.document_stats(df, "id", "t").select(text_stats.passage_kind().alias("k")).first().k == kind
+
+
+def test_huge_texts_are_merged_in_a_tree(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["the model ", "reads. ", "a,b,c ", "\n", "x | y ", "- item "]) for _ in range(4000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "short one."), (4, "no line break " * 300)], "id int, t string").withColumn("no", F.lit(9)).withColumn("sums", F.lit("clash"))
+    small = {r.id: r for r in text_stats.document_stats(df, "id", "t", chunk_chars=97).collect()}
+    whole = {r.id: r for r in text_stats.document_stats(df, "id", "t").collect()}
+    assert small == whole and set(small) == {1, 3, 4}
+    assert text_stats.document_stats(df.limit(0), "id", "t").count() == 0
+
+
+# --- 3 ---
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    edges = [(f"v{rng.randrange(80)}", f"v{rng.randrange(80)}") for _ in range(60)] + [("v1", "v1"), ("hub", "v2"), (None, "v3")] + [("hub", f"leaf{i}") for i in range(50)]
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u and v and u != v:
+            parent[find(u)] = find(v)
+    got = {r.vertex: r.label for r in splits.components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert set(got) == set(parent) and len({(find(v), lab) for v, lab in got.items()}) == len({find(v) for v in got}) == len(set(got.values()))
+
+
+def test_groups_over_several_keys_and_splits(spark):
+    rows = [(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", None), (5, None, None), (6, None, None), (7, "c", "z"), (8, "y", "q")]
+    df = spark.createDataFrame(rows, "pair_id int, k string, m string").withColumn("label", F.lit("clash"))
+    g = splits.group_records(df, "pair_id", [F.col("k"), F.col("m")])
+    lab = {r.pair_id: r.label for r in g.collect()}
+    assert lab[1] == lab[2] == lab[3] and lab[4] == lab[7] and len(set(lab.values())) == 5
+    assert {tuple(r) for r in splits.group_members(g, "pair_id", "first").collect()} == {(1, 2), (1, 3), (4, 7)}
+    big = spark.range(4000).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 300, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") / 3).cast("int").cast("string"))).alias("label"))
+    t = spark.createDataFrame([("train", 0.8), ("test", 0.2), ("none", None)], "split_name string, target_share double")
+    s = splits.assign_splits(big, "pair_id", t)
+    n = {r.split_name: r["count"] for r in s.groupBy("split_name").count().collect()}
+    assert sum(n.values()) == 4000 and abs(n["train"] / 4000 - 0.8) < 0.01
+    assert s.join(big, "pair_id").groupBy("label").agg(F.count_distinct("split_name").alias("n")).where("n > 1").count() == 0
+    assert splits.assign_splits(big.limit(0), "pair_id", t).count() == 0 and splits.assign_splits(big, "pair_id", t.limit(0)).count() == 0
+    assert splits.group_records(df.limit(0), "pair_id", [F.col("k")]).count() == 0
+
+
+# --- 4 ---
+
+
+def test_hidden_duplicates(spark):
+    rows = [
+        (5, "Graph Search", "Role: Finds x; Cost: 3 y", "a/b.pdf"), (2, "graph_search", "Cost : 3 Y | Role: finds X", "A/B.PDF"), (9, "Graph Search", "Role: Finds x; Cost: 4 y", "a/b.pdf"), (7, "Graph-Search ", "COST: 3 y\nROLE: Finds x", "a / b.pdf"),
+        (3, "Graph Search", "Role: Finds x; Cost: 3 y", None), (4, "Graph Search", "  ", "a/b.pdf"), (6, "Graph Search", None, "a/b.pdf"), (8, "Uniﬁed", "Plain, text here.", "c"), (1, "unified", "plain text HERE", "C"), (10, None, "x y", "c"), (11, "Z", "text plain here", "c"),
+    ]
+    df = spark.createDataFrame(rows, "rec_id int, concept_name string, summary string, doc_id string").withColumn("key", F.lit(1)).withColumn("copies", F.lit(1))
+    keyed = dups.duplicate_keys(df, "rec_id", ["concept_name", "doc_id"], ["summary"])
+    assert {tuple(r) for r in dups.duplicate_members(keyed, "rec_id", "first").collect()} == {(2, 5), (2, 7), (1, 8)}
+    left = {r.rec_id: r.copies for r in dups.collapse(df, "rec_id", ["concept_name", "doc_id"], ["summary"]).collect()}
+    assert left == {2: 3, 1: 2, 9: 1, 3: 1, 4: 1, 6: 1, 10: 1, 11: 1}
+    assert dups.collapse(df.limit(0), "rec_id", ["concept_name", "doc_id"], ["summary"]).count() == 0
+
+
+# --- 5 ---
+
+
+REFERENCE = [(1, "Graph Search", ["GS", "Sundial Rule"]), (2, "Paired Signal Voting", None), (3, "Kernel Masking", [None]), (4, "Latent Margin Encoding", None), (5, None, None)]
+
+
+def test_canonical_fields(spark):
+    ref = spark.createDataFrame(REFERENCE, "ref_id bigint, canonical_name string, aliases array<string>")
+    rows = [(1, "graph  search", ["Graph Search", None, " ", "PSV", "sundial rule"], ["Search, Graph"]), (2, "Kernel Tasting", None, ["grahp saerch", "Late. Margin Encoding", "Graph Voting"]), (3, None, [], ["The concept of kernel masking"]), (4, "Latent Margin Encodings", ["Office Hours"], None)]
+    df = spark.createDataFrame(rows, "rec_id bigint, concept_name string, prerequisites array<string>, unlocks array<string>").withColumn("raw", F.lit("clash"))
+    got = {(r.rec_id, r.field_name, r.pos): r.ref_id for r in canon_match.canonicalise_fields(df, ref, "rec_id", ["concept_name"], ["prerequisites", "unlocks"], "ref_id", "canonical_name", "aliases").collect()}
+    assert got == {
+        (1, "concept_name", 0): 1, (1, "prerequisites", 3): 2, (1, "prerequisites", 4): 1, (1, "unlocks", 0): 1, (2, "concept_name", 0): -1, (2, "unlocks", 0): 1, (2, "unlocks", 1): 4, (2, "unlocks", 2): -1, (3, "unlocks", 0): 3,
+        (4, "concept_name", 0): 4, (4, "prerequisites", 0): -1,
+    }
+    v = spark.createDataFrame([("a b",), (None,), ("",)], "x string")
+    assert {r.raw: r.ref_id for r in canon_match.match_values(v, ref.limit(0), "ref_id", "canonical_name", "aliases").collect()} == {"a b": -1, "": -1}
+    assert canon_match.match_values(v.limit(0), ref, "ref_id", "canonical_name", "aliases").count() == 0
+
+
+# --- 6 ---
+
+
+def test_pairs_keep_every_row(spark):
+    rows = [("a", 1, "TEXT: x", None, "", 0), ("a", 1, "TEXT: x", None, "", 0), ("b", 2, None, None, None, 220), ("b", 3, None, None, "[]", 220)]
+    df = spark.createDataFrame(rows, "origin string, row_id int, prompt string, context string, answer string, limit int").withColumn("defect", F.lit("clash"))
+    assert sorted(tuple(r) for r in pairs.flag_pairs(df).collect()) == [("a", 1, "empty"), ("a", 1, "empty"), ("b", 2, "empty")] and pairs.flag_pairs(df.limit(0)).count() == 0
+
+
+# --- 7 ---
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocab) for _ in range(rng.randint(8, 60))] for _ in range(40)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 3, 6, 14])):
+            p = rng.randrange(len(w))
+            w[p : p + 1] = rng.choice([[], ["new"], [w[p], "more"]])
+        rows.append((i, "Do it.\n\nTEXT:\n" + " ".join(w).title() + rng.choice(["", "\n\nAnswer with the JSON array:"]), rng.choice(["train", "train", "test", "validation"]), "d"))
+    rows += [(900, None, "train", "d"), (901, "TEXT: a b c", None, "d"), (902, "TEXT: ", "test", "d"), (903, "TEXT: ", "train", None)]
+    df = spark.createDataFrame(rows, "pair_id int, instruction string, split_name string, doc_id string").withColumn("e", F.lit("clash"))
+    o = overlap.find_overlaps(df, "pair_id", "instruction", "split_name", "doc_id")
+    got = {tuple(r) for r in overlap.row_pairs(o).collect()}
+    ws = {r[0]: overlap.normal_words(overlap.passage_of(r[1])) for r in rows if r[1]}
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[2] in ("test", "validation") and b[2] == "train" and ws.get(a[0]) and ws.get(b[0]):
+                k = overlap.errors(len(ws[a[0]]))
+                if banded_distance(ws[a[0]], ws[b[0]], k) <= k:
+                    want.add((min(a[0], b[0]), max(a[0], b[0])))
+    assert got == want and len(got) > 40
+    assert overlap.overlap_report(o, F.col("doc")).agg(F.sum("n_pairs")).first()[0] == len(got)
+    assert overlap.row_pairs(overlap.find_overlaps(df.limit(0), "pair_id", "instruction", "split_name", "doc_id")).count() == 0
+
+
+# --- 8 ---
+
+
+def check_packing(sizes, rows, limits):
+    for name, cap in limits:
+        mine = [r for r in rows if r.limit_name == name]
+        fill: dict = {}
+        items: dict = {}
+        for r in mine:
+            fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+            items.setdefault(r.doc_id, []).append((r.piece_no, r.n_tokens))
+        assert all(v <= cap for v in fill.values())
+        assert {d: sum(n for _, n in p) for d, p in items.items()} == dict(sizes)
+        for d, p in items.items():
+            assert len(p) == 1 or dict(sizes)[d] > cap
+            assert sorted(k for k, _ in p) == list(range(len(p)))
+        bound = -(-sum(n for _, n in sizes) // cap)
+        yield len([c for c, v in fill.items() if v]), bound
+
+
+@pytest.mark.parametrize("shape", ["mixed", "large", "tiny", "equal", "over"])
+def test_packing(spark, shape):
+    rng = random.Random(shape)
+    n = {"mixed": lambda: rng.randint(0, 90), "large": lambda: rng.randint(30, 100), "tiny": lambda: rng.randint(1, 12), "equal": lambda: 40, "over": lambda: rng.randint(80, 700)}[shape]
+    sizes = [(i, n()) for i in range(600)]
+    limits = [("a", 100), ("b", 333)]
+    df = spark.createDataFrame(sizes, "id bigint, n_tokens bigint")
+    lim = spark.createDataFrame([*limits, ("bad", None), ("zero", 0)], "limit_name string, capacity_tokens int")
+    for used, bound in check_packing(sizes, packing.pack(df, lim).collect(), limits):
+        assert used <= bound * (1.35 if shape in ("large", "equal", "over") else 1.06) + 2
+
+
+def test_packing_edges(spark):
+    lim = spark.createDataFrame([("a", 10)], "limit_name string, capacity_tokens int")
+    e = spark.createDataFrame([], "id bigint, n_tokens bigint")
+    assert packing.pack(e, lim).count() == 0 and packing.pack(spark.createDataFrame([(1, 5)], "id bigint, n_tokens bigint"), lim.limit(0)).count() == 0
+    got = packing.pack(spark.createDataFrame([(1, 0), (2, 25), (3, 5)], "id bigint, n_tokens bigint"), lim).collect()
+    assert sorted((r.doc_id, r.piece_no, r.n_tokens) for r in got) == [(1, 0, 0), (2, 0, 10), (2, 1, 10), (2, 2, 5), (3, 0, 5)]
+
+
+def test_token_sizes(spark):
+    if not __import__("os").path.exists(packing.TOKENIZER):
+        pytest.skip("no tokenizer files")
+    d = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a" * 50_000)], "doc_id int, text string").withColumn("n_tokens", F.lit(1))
+    got = {r.id: r.n_tokens for r in packing.token_sizes(d, "doc_id", "text").collect()}
+    enc = packing.encoder(packing.TOKENIZER)
+    assert got == {1: 2, 2: 0, 3: 0, 4: len(enc.encode_ordinary("a" * 50_000))} and enc.decode(enc.encode_ordinary("Round – trip “ok”")) == "Round – trip “ok”"
+
+
+# --- 9 ---
+
+
+def test_leaks_equal_brute_force_in_blocks(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(50))) for i in range(30)]
+    docs, want = [], set()
+    for d in range(120):
+        parts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 80)))]
+        for i in rng.sample(range(30), rng.randint(0, 2)):
+            share = rng.choice([1.0, 0.7, 0.2])
+            parts += [" ".join(items[i][1].split()[: int(50 * share)]), " ".join(rng.choice(vocab) for _ in range(20))]
+            if share > 0.5:
+                want.add((d, i))
+        docs.append((d, ". ".join(parts)))
+    docs += [(500, None), (501, "")]
+    dd = spark.createDataFrame(docs, "doc_id int, text string").withColumn("item_id", F.lit(0))
+    it = spark.createDataFrame([*items, (77, None), (78, "one two")], "item_id int, item_text string").withColumn("doc_id", F.lit(0))
+    one = {tuple(r) for r in leaks.find_leaks(dd, it, "doc_id", "text", "item_id", "item_text").collect()}
+    assert one == want == {tuple(r) for r in leaks.find_leaks(dd, it, "doc_id", "text", "item_id", "item_text", block_chars=900).collect()}
+    assert leaks.find_leaks(dd.limit(0), it, "doc_id", "text", "item_id", "item_text").count() == 0 and leaks.find_leaks(dd, it.limit(0), "doc_id", "text", "item_id", "item_text").count() == 0
+
+
+# --- 10 ---
+
+
+def test_reading_levels_on_held_out_passages(spark):
+    import os
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{path}/reading_labels.parquet").withColumn("fold", F.pmod(F.xxhash64("passage_id"), F.lit(2)))
+    held = labels.where("fold = 1").select(F.col("passage_id").alias("doc_id"), F.col("passage_text").alias("text"), F.lit("clash").alias("x0"))
+    docs = held.select("doc_id", "text").unionByName(spark.read.parquet(f"{path}/documents.parquet").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
+    got = reading.reading_levels(docs, labels.where("fold = 0"), "doc_id", "text", "passage_id", "passage_text", "reading_level")
+    j = got.join(labels.select(F.col("passage_id").alias("doc_id"), F.col("reading_level").alias("want")), "doc_id").collect()
+    assert len(j) >= 0.9 * held.count() and sum(r.reading_level == r.want for r in j) >= 0.97 * len(j)
+
+
+def test_reading_levels_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Das ist ein Text und er ist nicht auf Englisch, weil wir das so wollen. " * 5), (4, "- one\n- two\n- three")], "doc_id int, text string").withColumn("n", F.lit(1))
+    lab = spark.createDataFrame([(1, "The cat is on the mat and it is old. It sits in the sun.", "easy"), (2, None, "hard"), (3, "x", None)], "passage_id int, passage_text string, reading_level string")
+    args = ("doc_id", "text", "passage_id", "passage_text", "reading_level")
+    assert reading.reading_levels(docs, lab, *args).count() == 0 and reading.reading_levels(docs, lab.limit(0), *args).count() == 0 and reading.reading_levels(docs.limit(0), lab, *args).count() == 0
