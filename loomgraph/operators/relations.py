@@ -33,13 +33,19 @@ def mentions(chunks: DataFrame, concepts: DataFrame, key: list[str], text: str =
     A nested loop over chunks and aliases would grow with both: here every run of up to `max_words` words of a chunk meets the aliases in an
     equi-join. Longer aliases are compared one by one with the chunks (few, if any).
     """
-    al = alias_table(concepts).withColumn("n", F.size(F.split("alias", " ")))
+    al = materialize(alias_table(concepts).withColumn("n", F.size(F.split("alias", " "))), "aliases")
+    lengths = sorted(r.n for r in al.where(F.col("n") <= max_words).select("n").distinct().collect())  # at most max_words numbers
     c = chunks.select(*key, word_form(F.col(text)).alias("w")).where("w <> ''").withColumn("w", F.split("w", " "))
     size = F.size("w")
-    runs = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(max_words)),
-        lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
-    )))
+
+    def of_length(n: int) -> Column:
+        if n == 1:
+            return F.col("w")
+        starts = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
+        return F.when(size >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    joined = [of_length(n) for n in lengths]
+    runs = F.concat(*joined) if joined else F.array().cast("array<string>")
     short = c.select(*key, F.explode(runs).alias("alias")).join(al.where(F.col("n") <= max_words).select("alias", "id"), "alias").select(*key, "id")
     long_ = al.where(F.col("n") > max_words)
     whole = c.select(*key, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_text", "q_records", "q_graph", "q_relations", "q_retrieval")
+MODULES = ("q_text", "q_records", "q_graph", "q_relations", "q_retrieval", "q_more")
 
 
 def _modules():
