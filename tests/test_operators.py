@@ -205,3 +205,14 @@ def test_text_helpers(spark):
 def test_empty_tables(spark):
     r = recs(spark, [dict(concept_name="A")]).limit(0)
     assert graph.nodes(r).count() == 0 and graph.edges(r).count() == 0 and records.merged_facts(r).count() == 0 and records.canonical_map(r.select("concept_name")).count() == 0
+
+
+def test_written_tables_are_released(spark):
+    from loomgraph import session
+
+    df = session.materialize(spark.range(5), "t")
+    assert df.count() == 5
+    session.release(spark)
+    assert not session._WRITTEN
+    with pytest.raises(Exception):
+        df.count()
