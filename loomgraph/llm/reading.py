@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .text_stats import COMMON, NAMES, text_stats
 
 VOCABULARY = 65_536
@@ -34,10 +35,19 @@ def _count_words(batches):
 
 
 def frequency_ranks(docs: DataFrame, text: str, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(word, n): the `vocabulary` most frequent words of all documents, ties in alphabetical order; counts are summed per
-    batch before the shuffle."""
+    """(word, n): the `vocabulary` most frequent words of all documents, ties in alphabetical order.
+
+    Counts are summed per batch before the shuffle. A histogram of counts on a logarithmic scale (some hundred rows) says below which
+    count no word can be among them, so that the final sort gets few words more than are wanted, however many there are.
+    """
     counts = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(_count_words, "word string, n bigint")
-    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
+    counts = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    least, have = 0, 0
+    for r in counts.groupBy("bin").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("bin")).collect():
+        least, have = r.bin, have + r.c
+        if have >= vocabulary:
+            break
+    return counts.where(F.col("bin") >= least).drop("bin").orderBy(F.desc("n"), "word").limit(vocabulary)
 
 
 def english_prose(text: str) -> bool:
