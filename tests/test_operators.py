@@ -216,3 +216,38 @@ def test_written_tables_are_released(spark):
     assert not session._WRITTEN
     with pytest.raises(Exception):
         df.count()
+
+
+def test_answers_keep_only_supplied_citations_on_topic(spark):
+    from loomgraph.operators import extra
+
+    topics = {"S1": "Graph Search", "S2": "Token Pooling"}
+    assert extra.cleanse("Graph search is old [S1]. It uses walls [S2] and more [S9].", topics) == "Graph search is old [S1]. It uses walls and more."
+    assert extra.cleanse("Nothing cited.", topics).endswith("Sources: [S1] Graph Search, [S2] Token Pooling") and extra.cleanse("Plain.", {}) == "Plain."
+    got = spark.createDataFrame([("x (S1) graph.", {"S1": "graph"})], "t string, m map<string,string>").select(extra.cleanse_udf("t", "m").alias("r")).first().r
+    assert got == "x [S1] graph."
+
+
+def test_gold_matches(spark):
+    from loomgraph.operators import extra
+
+    mine = spark.createDataFrame([("graph searches",), ("the token pooling layer",), ("Walls",), (None,)], "n string")
+    gold = spark.createDataFrame([("Graph Search",), ("Token Pooling",), ("Kernel",)], "g string")
+    got = {(r.gold, r.how) for r in extra.gold_matches(mine, gold).collect()}
+    assert got == {("Token Pooling", "fuzzy"), ("Graph Search", "fuzzy")}
+
+
+def test_build_leaves_no_cycle(spark):
+    from loomgraph.operators import extra
+
+    r = recs(spark, [dict(concept_name="Alpha", unlocks=["Beta"]), dict(concept_name="Beta", unlocks=["Gamma"]), dict(concept_name="Gamma", unlocks=["Alpha"])]).withColumn("source_passage", F.lit("alpha beta gamma"))
+    n, e, dropped = extra.build(r)
+    assert n.count() == 3 and dropped.count() == 1 and graph.cyclic_core(graph.learn_arcs(e).select("before", "after")).count() == 0
+
+
+def test_chunk_back_edges(spark):
+    from loomgraph.operators import more
+
+    rows = [(1, "d", "c", "A", ["B"]), (2, "d", "c", "B", ["C", "X"]), (3, "d", "c", "C", ["A"]), (4, "d", "e", "A", ["B"])]
+    got = more.chunk_back_edges(spark.createDataFrame(rows, "rec_id int, doc_id string, chunk_id string, concept_name string, prerequisites array<string>")).collect()
+    assert [tuple(r) for r in got] == [("d", "c", "c", "a")]
