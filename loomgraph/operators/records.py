@@ -11,6 +11,7 @@ from ..functions.fuzzy import ratio
 
 from ..functions.names import ALIAS_MAP, aliases, canonical_name, merge_key
 from ..functions.text import strip
+from ..session import is_empty, materialize
 from .filters import references
 
 
@@ -47,17 +48,22 @@ def merged_concepts(records: DataFrame) -> DataFrame:
     )
 
 
-def merged_facts(records: DataFrame, last_wins: bool = False) -> DataFrame:
+def merged_facts(records: DataFrame, last_wins: bool = False, mapping: DataFrame | None = None) -> DataFrame:
     """AGG-2 and AGG-3: the union of the references of merged records as rows (name_key, kind, target, first rec_id, provenance).
 
     Provenance is what the asserting record states for the reference, else its own chunk; the first record wins, or the last. Arrays
-    are never gathered per name, so a name that a third of the records share stays spread out.
+    are never gathered per name, so a name that a third of the records share stays spread out. With `mapping` (name, canonical) the
+    canonical names in lower case are the keys, and targets are replaced by theirs; what a record states goes by the target as written.
     """
     refs = references(records).where("target is not null")
     prov = records.select("rec_id", merge_name_key(F.col("concept_name")).alias("name_key"), "relation_provenance", F.concat_ws(":", F.coalesce("doc_id", F.lit("")), F.coalesce("chunk_id", F.lit(""))).alias("own"))
     r = refs.join(prov, "rec_id").withColumn("t", F.lower("target"))
     stated = F.try_element_at("relation_provenance", F.concat("kind", F.lit(":"), "t"))
     r = r.withColumn("source", F.coalesce(stated, F.nullif("own", F.lit(":"))))
+    if mapping is not None:
+        names = records.where("concept_name <> ''").select("rec_id", F.col("concept_name").alias("name")).join(mapping.toDF("name", "c"), "name", "left")
+        r = r.drop("name_key").join(names.select("rec_id", F.lower(F.coalesce("c", "name")).alias("name_key")), "rec_id")
+        r = r.join(mapping.toDF("target", "c"), "target", "left").withColumn("t", F.lower(F.coalesce("c", "target")))
     pick = (F.max_by if last_wins else F.min_by)("source", F.struct("rec_id", "pos"))
     return r.groupBy("name_key", "kind", F.col("t").alias("target")).agg(F.min("rec_id").alias("rec_id"), pick.alias("source"))
 
@@ -98,6 +104,55 @@ def fuzzy_merges(names: DataFrame, threshold: float = 90.0) -> DataFrame:
     return pairs.withColumn("score", score("low", "low2")).where(F.round("score") >= threshold).select("name", "like", F.round("score", 2).alias("score"))
 
 
+def first_matches(pairs: DataFrame) -> DataFrame:
+    """The ordered fold of CAN-6 and AGG-3 over (x, y, rank): x may join the ys, all earlier than x in one order, and joins the one of least rank that has joined
+    none itself; without such a y it stays, and later ones may join it. (x, y) of those that join.
+
+    The fold is done in rounds, not per component, as a component may hold any share of the names: an x with a y that is sure to stay is sure to join, and
+    pairs with a y that joins are void. Each round decides at least the earliest x left; rounds are written tables.
+    """
+    pairs = materialize(pairs.select("x", "y", "rank"), "matches")
+    left, joined = pairs.select("x", "y"), None
+    while not is_empty(left):
+        new = left.join(left.select(F.col("x").alias("y")).distinct(), "y", "left_anti").select("x").distinct()
+        joined = materialize(new if joined is None else joined.unionByName(new), "matches-joined")
+        left = materialize(left.join(joined, "x", "left_anti").join(joined.toDF("y"), "y", "left_anti").select("x", "y"), "matches-left")
+    if joined is not None:
+        pairs = pairs.join(joined.toDF("y"), "y", "left_anti")
+    return pairs.groupBy("x").agg(F.min_by("y", "rank").alias("y"))
+
+
+def clustered_map(names: DataFrame, threshold: float = 90.0) -> DataFrame:
+    """CAN-6, both stages: (name, canonical): canonical forms in order of length (then the alphabet) join the form kept before with their merge key, else
+    the first kept one whose ratio reaches `threshold`; those of up to three characters join none."""
+    c = materialize(names.toDF("name").where("trim(coalesce(name, '')) <> ''").distinct().withColumn("c", canonical_name(F.col("name"))), "names")
+    d = c.select("c").distinct().withColumn("k", merge_key(F.lower("c")))
+    order = lambda x: F.struct(F.length(x), x)
+    same = d.select(F.col("c").alias("y"), "k").join(d.select(F.col("c").alias("x"), "k"), "k").where(order("y") < order("x"))
+    like = fuzzy_merges(d.select("c"), threshold).select(F.col("like").alias("x"), F.col("name").alias("y"))
+    pairs = same.select("x", "y", F.lit(0).alias("stage")).unionByName(like.withColumn("stage", F.lit(1))).where(F.length(F.lower("x")) > 3)
+    m = first_matches(pairs.select("x", "y", F.struct("stage", F.length("y"), "y").alias("rank")))
+    return c.join(m.toDF("c", "y"), "c", "left").select("name", F.coalesce("y", "c").alias("canonical"))
+
+
+def record_names(records: DataFrame) -> DataFrame:
+    """All names that CAN-6 maps: those of the records and of their references."""
+    return records.select(F.col("concept_name").alias("name")).unionByName(references(records).select(F.col("target").alias("name"))).distinct()
+
+
+def first_seen_map(records: DataFrame, threshold: float = 85.0) -> DataFrame:
+    """AGG-3: (name, canonical): names in order of their first record join the first name kept before whose ratio reaches `threshold`; a name is written as
+    where it was seen first."""
+    n = records.select("rec_id", strip(F.coalesce("concept_name", F.lit(""))).alias("name")).where("name <> ''").withColumn("low", F.lower("name"))
+    seen = materialize(n.groupBy("low").agg(F.min("rec_id").alias("o"), F.min_by("name", "rec_id").alias("first")), "seen")
+    p = fuzzy_merges(seen.select("low"), threshold).select("name", "like")
+    p = p.join(seen.select(F.col("low").alias("name"), F.col("o").alias("on")), "name").join(seen.select(F.col("low").alias("like"), F.col("o").alias("ol")), "like")
+    later = F.col("on") > F.col("ol")
+    m = first_matches(p.select(F.when(later, F.col("name")).otherwise(F.col("like")).alias("x"), F.when(later, F.col("like")).otherwise(F.col("name")).alias("y"), F.least("on", "ol").alias("rank")))
+    to = n.select("name", "low").distinct().join(m.toDF("low", "y"), "low", "left").select("name", F.coalesce("y", "low").alias("low"))
+    return to.join(seen.select("low", "first"), "low").select("name", F.col("first").alias("canonical"))
+
+
 def alias_index(names: DataFrame) -> DataFrame:
     """CAN-10: (alias, canonical) from (ord, name): the alias of a later name replaces that of an earlier one; fixed aliases only where free."""
     n = names.toDF("ord", "name").where("trim(coalesce(name, '')) <> ''").withColumn("c", canonical_name(F.col("name")))

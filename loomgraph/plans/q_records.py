@@ -69,6 +69,17 @@ def agg3b(spark, sf):
     return R.fuzzy_merges(_o(spark, sf, "concept_name").select(N.canonical_name(F.col("concept_name"))), 85.0)
 
 
+@query("agg3_clustered_names")
+def agg3c(spark, sf):
+    return R.first_seen_map(_o(spark, sf, "rec_id", "concept_name"))
+
+
+@query("agg3_clustered_facts")
+def agg3d(spark, sf):
+    o = _o(spark, sf, *_FACT_COLS)
+    return R.merged_facts(o, last_wins=True, mapping=R.first_seen_map(o))
+
+
 @query("agg4_distinct_sources", f"SELECT DISTINCT coalesce(doc_id, '') AS doc_id, {D.category('doc_id')} AS category, coalesce(chunk_id, '') AS chunk_id, coalesce(page_number, 0) AS page_number, coalesce(section_title, '') AS section_title FROM okf_results")
 def agg4(spark, sf):
     o = _o(spark, sf, "doc_id", "chunk_id", "page_number", "section_title")
@@ -173,6 +184,20 @@ def can7(spark, sf):
     return R.apply_map(refs, R.canonical_map(_o(spark, sf, "concept_name"))).select("rec_id", "kind", "pos", "target")
 
 
+_REF_COLS = ("rec_id", "concept_name", "prerequisites", "unlocks", "related_to")
+
+
+@query("can6_clustered_map")
+def can6c(spark, sf):
+    return R.clustered_map(R.record_names(_o(spark, sf, *_REF_COLS)))
+
+
+@query("can7_clustered_references")
+def can7b(spark, sf):
+    o = _o(spark, sf, *_REF_COLS)
+    return R.apply_map(L.references(o).where("target is not null"), R.clustered_map(R.record_names(o))).select("rec_id", "kind", "pos", "target")
+
+
 _FIXED = " UNION ALL ".join(f"SELECT {D.q(k)} AS alias, {D.q(v)} AS canonical" for k, v in N.ALIAS_MAP.items())
 _INDEX = f"""n AS (SELECT ref_id AS ord, canonical_name AS name, {D.canonical('canonical_name')} AS c FROM concept_reference), x AS (SELECT ord, c, unnest(list_distinct(list_concat(list_concat({D.aliases('c')}, {D.aliases('name')}), [lower(trim(c)), lower(trim(name))]))) AS alias FROM n),
  idx AS (SELECT alias, arg_max(c, {{'o': ord, 'c': c}}) AS canonical FROM x GROUP BY 1), fx AS ({_FIXED}), al AS (SELECT * FROM idx UNION ALL SELECT * FROM fx WHERE alias NOT IN (SELECT alias FROM idx))"""

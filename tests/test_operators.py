@@ -251,3 +251,61 @@ def test_chunk_back_edges(spark):
     rows = [(1, "d", "c", "A", ["B"]), (2, "d", "c", "B", ["C", "X"]), (3, "d", "c", "C", ["A"]), (4, "d", "e", "A", ["B"])]
     got = more.chunk_back_edges(spark.createDataFrame(rows, "rec_id int, doc_id string, chunk_id string, concept_name string, prerequisites array<string>")).collect()
     assert [tuple(r) for r in got] == [("d", "c", "c", "a")]
+
+
+def _misspelled(n, seed=5):
+    import random
+
+    rng = random.Random(seed)
+    base = ["Neural Network", "Graph Search Method", "Kernel Pooling", "Attention Mechanism", "Gradient Descent", "Tensor", "RAG", "RAG Architecture", "Language Models", "Language Model"]
+    out = list(base)
+    while len(out) < n:
+        w = list(rng.choice(out))
+        i = rng.randrange(len(w))
+        w[i : i + rng.randint(0, 1)] = rng.choice("aeior") if rng.random() < 0.7 else ""
+        out.append("".join(w).strip().title())
+    out = [n for n in out if n]
+    rng.shuffle(out)
+    return out
+
+
+def test_clustered_map_equals_the_fold(spark):
+    ns = _misspelled(120)
+    df = spark.createDataFrame([(n,) for n in ns], "name string")
+    c = names.canonical_name(F.col("name"))
+    forms = {r.name: (r.c, r.k) for r in df.distinct().select("name", c.alias("c"), names.merge_key(F.lower(c)).alias("k")).collect()}
+    want, kept, keys = {}, {}, {}
+    for raw in sorted(forms, key=lambda n: (len(forms[n][0]), forms[n][0], n)):
+        canon, key = forms[raw]
+        like = [v for k, v in kept.items() if round(fuzzy.ratio(canon.lower(), k)) >= 90]
+        if len(canon) > 3 and key in keys:
+            want[raw] = keys[key]
+        elif len(canon) > 3 and like:
+            want[raw] = like[0]
+        else:
+            want[raw] = kept[canon.lower()] = canon
+            keys.setdefault(key, canon)
+    got = {r.name: r.canonical for r in records.clustered_map(df).collect()}
+    assert got == want and got["RAG Architecture"] == "RAG" and len(set(got.values())) < len({r.canonical for r in records.canonical_map(df).collect()})
+
+
+def test_first_seen_map_equals_the_fold(spark):
+    ns = _misspelled(120, 6)
+    want, kept = {}, []
+    for n in ns:
+        like = [o for low, o in kept if round(fuzzy.ratio(n.lower(), low)) >= 85]
+        want[n] = like[0] if like else n
+        if not like:
+            kept.append((n.lower(), n))
+    df = spark.createDataFrame([(i, f" {n} ") for i, n in enumerate(ns)], "rec_id int, concept_name string")
+    got = {r.name: r.canonical for r in records.first_seen_map(df).collect()}
+    assert got == want and len(set(got.values())) < len(set(ns))
+
+
+def test_facts_of_misspelled_names_meet(spark):
+    r = recs(spark, [dict(concept_name="Neural Network", prerequisites=["Kernel Pooling"]), dict(concept_name="Neural Netwrk", prerequisites=["Kernel Poolng"]), dict(concept_name="Kernel Pooling"), dict(concept_name="Kernel Poolng")])
+    f = records.merged_facts(r, last_wins=True, mapping=records.first_seen_map(r)).collect()
+    first, last = sorted(x.rec_id for x in r.where("size(prerequisites) > 0").collect())
+    assert [(x.name_key, x.kind, x.target, x.rec_id) for x in f] == [("neural network", "prereq", "kernel pooling", first)]
+    own = r.where(F.col("rec_id") == last).select(F.concat_ws(":", F.coalesce("doc_id", F.lit("")), F.coalesce("chunk_id", F.lit("")))).first()[0]
+    assert f[0].source == (own if own != ":" else None)
