@@ -175,6 +175,11 @@ def trv2(spark, sf):
     return G.chains(_e(spark, sf).where("edge_type = 'REQUIRES'").select("src", "dst"), 2)
 
 
+@query("trv2_chains_three_hops", SQL["trv2_chains"].replace("hops < 2", "hops < 3").replace("hops = 2", "hops = 3"))
+def trv2b(spark, sf):
+    return G.chains(_e(spark, sf).where("edge_type = 'REQUIRES'").select("src", "dst"))
+
+
 @query("trv4_components")
 def trv4a(spark, sf):
     return G.connected_components(_e(spark, sf))

@@ -309,3 +309,11 @@ def test_facts_of_misspelled_names_meet(spark):
     assert [(x.name_key, x.kind, x.target, x.rec_id) for x in f] == [("neural network", "prereq", "kernel pooling", first)]
     own = r.where(F.col("rec_id") == last).select(F.concat_ws(":", F.coalesce("doc_id", F.lit("")), F.coalesce("chunk_id", F.lit("")))).first()[0]
     assert f[0].source == (own if own != ":" else None)
+
+
+def test_registered_chains_have_three_hops(spark, monkeypatch):
+    from loomgraph.plans import q_graph
+
+    r = recs(spark, [dict(concept_name=a, prerequisites=[b] if b else []) for a, b in (("Alpha", "Beta"), ("Beta", "Gamma"), ("Gamma", "Delta"), ("Delta", "Kappa"), ("Kappa", None))])
+    monkeypatch.setattr(q_graph, "_r", lambda *_: r)
+    assert {x.path for x in q_graph.QUERIES["trv2_chains_three_hops"](spark, "").collect()} == {"alpha>beta>gamma>delta", "beta>gamma>delta>kappa", "gamma>delta>kappa", "delta>kappa"}
