@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.names import aliases
 from ..functions.text import difficulty_rank, tokens
 from ..session import is_empty, materialize
+from .filters import references
 
 MAX_ALIAS_WORDS = 6
+CHUNK_CONCEPTS = 5
 # Relation labels that mean unlocking; words between two concepts that mean unlocking or requiring.
 UNLOCK_LABELS = ("enables", "unlocks", "leads_to", "leads to", "allows", "prerequisite_for", "pre-requisite", "extends")
 UNLOCK_WORDS = r"\b(enables|unlocks|leads to|allows|is a prerequisite for|key to)\b"
@@ -176,3 +178,13 @@ def keyword_scores(texts: DataFrame, key: str, text: str, clusters: dict[str, li
     s = t.select(key, F.explode(scores).alias("x")).select("x.cluster", key, "x.score").where(F.col("score") >= least)
     w = Window.partitionBy("cluster").orderBy(F.desc("score"), key)
     return s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("cluster", key, "score")
+
+
+def closed_references(records: DataFrame, cap: int = CHUNK_CONCEPTS) -> DataFrame:
+    """EXT-2: (rec_id, kind, pos, target): the references of all three kinds to concepts of the same chunk, of the first `cap` records of each chunk; the
+    records beyond the cap still count as concepts of the chunk."""
+    r = records.where("doc_id is not null and chunk_id is not null")
+    w = Window.partitionBy("doc_id", "chunk_id").orderBy("rec_id")  # with the cap the ranks are bounded before the shuffle
+    first = r.select("rec_id", "doc_id", "chunk_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).drop("r")
+    names = r.select("doc_id", "chunk_id", F.col("concept_name").alias("target")).distinct()
+    return references(r).join(first, "rec_id").join(names, ["doc_id", "chunk_id", "target"], "left_semi").select("rec_id", "kind", "pos", "target")

@@ -12,6 +12,7 @@ from ..operators import relations as R
 from ..tables import read
 from . import duck as D
 from .q_graph import GRAPH, _cid, _e
+from .q_text import _REFS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,6 +161,12 @@ def ext2(spark, sf):
     return p.join(o.select(*_K, F.col("concept_name").alias("target")).distinct(), [*_K, "target"], "left_semi").select("rec_id", "pos", "target")
 
 
+@query("ext2_closed_references", f"""WITH {_REFS}, f AS (SELECT rec_id, doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY rec_id) AS r FROM okf_results WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE r <= {R.CHUNK_CONCEPTS})
+ SELECT rec_id, kind, pos, target FROM refs JOIN f USING (rec_id) JOIN (SELECT DISTINCT doc_id, chunk_id, concept_name FROM okf_results) c ON f.doc_id = c.doc_id AND f.chunk_id = c.chunk_id AND refs.target = c.concept_name""")
+def ext2b(spark, sf):
+    return R.closed_references(read(spark, sf, "okf_results", "rec_id", *_K, "concept_name", "prerequisites", "unlocks", "related_to"))
+
+
 # --- evidence and citations ---
 
 _EV = f"WITH {MENTIONS}, ev AS (SELECT m.id, c.doc_id, c.chunk_id, min(page_number) AS page_number, min(section_title) AS section_title, min(text) AS text FROM mentions m JOIN chunks c USING (doc_id, chunk_id) GROUP BY 1, 2, 3)"

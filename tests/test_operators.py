@@ -317,3 +317,10 @@ def test_registered_chains_have_three_hops(spark, monkeypatch):
     r = recs(spark, [dict(concept_name=a, prerequisites=[b] if b else []) for a, b in (("Alpha", "Beta"), ("Beta", "Gamma"), ("Gamma", "Delta"), ("Delta", "Kappa"), ("Kappa", None))])
     monkeypatch.setattr(q_graph, "_r", lambda *_: r)
     assert {x.path for x in q_graph.QUERIES["trv2_chains_three_hops"](spark, "").collect()} == {"alpha>beta>gamma>delta", "beta>gamma>delta>kappa", "gamma>delta>kappa", "delta>kappa"}
+
+
+def test_closed_references_have_all_kinds_and_positions(spark):
+    rows = [dict(concept_name="A", prerequisites=["v", "w", "x", "y", "z", "B"], unlocks=["B", "G"], related_to=[("C", "uses"), ("x", "uses")])]
+    rows += [dict(concept_name=n) for n in "BCDE"] + [dict(concept_name="F", unlocks=["A"]), dict(concept_name="G", unlocks=["A"], chunk_id="e")]
+    got = {tuple(r) for r in relations.closed_references(recs(spark, rows)).collect()}
+    assert got == {(1, "prereq", 5, "B"), (1, "unlock", 0, "B"), (1, "related", 0, "C")}
