@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import aliases
+from ..functions.names import aliases, canonical_name
 from ..functions.text import difficulty_rank, tokens
 from ..session import is_empty, materialize
 from .filters import references
+from .records import resolve_names
 
 MAX_ALIAS_WORDS = 6
 CHUNK_CONCEPTS = 5
@@ -188,3 +189,28 @@ def closed_references(records: DataFrame, cap: int = CHUNK_CONCEPTS) -> DataFram
     first = r.select("rec_id", "doc_id", "chunk_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).drop("r")
     names = r.select("doc_id", "chunk_id", F.col("concept_name").alias("target")).distinct()
     return references(r).join(first, "rec_id").join(names, ["doc_id", "chunk_id", "target"], "left_semi").select("rec_id", "kind", "pos", "target")
+
+
+def oriented_edges(records: DataFrame, texts: DataFrame, m: DataFrame, concepts: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+    """REL-8: (src, dst, edge_type, relation, source): references resolved by the alias `index` to `concepts` (id, name, difficulty), whose ends are named
+    together in some chunk, directed by REL-7: the later concept REQUIRES the earlier one, which UNLOCKS it; RELATED goes from the lesser id.
+
+    Of one edge's assertions the first record and position gives relation and provenance (stated, else the record's chunk).
+    """
+    own = F.concat_ws(":", F.coalesce("doc_id", F.lit("")), F.coalesce("chunk_id", F.lit("")))
+    stated = F.try_element_at("relation_provenance", F.concat("kind", F.lit(":"), F.lower("target")))
+    r = references(records).where("trim(coalesce(target, '')) <> '' and trim(coalesce(concept_name, '')) <> ''").join(records.select("rec_id", "relation_provenance", own.alias("own")), "rec_id")
+    r = r.select("rec_id", "kind", "pos", "relation", F.trim("concept_name").alias("na"), F.trim("target").alias("nb"), F.coalesce(stated, "own").alias("source"))
+    form = lambda c: F.lower(F.trim(c))
+    known = concepts.select("id", form(canonical_name(F.col("name"))).alias("f")).groupBy("f").agg(F.min("id").alias("id"))
+    ids = resolve_names(r.select("na").union(r.select("nb")), index).withColumn("f", form(F.col("canonical"))).join(known, "f").select("name", "id")
+    r = r.join(ids.toDF("na", "a"), "na").join(ids.toDF("nb", "b"), "nb").where("a <> b")
+    r = materialize(r.select("rec_id", "kind", "pos", "relation", "source", "a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), "oriented")
+    ok = materialize(validated(r.select(F.col("lo").alias("a"), F.col("hi").alias("b")), m, key), "validated")
+    d = directions(ok.join(r.where("kind <> 'related'").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), ["a", "b"], "left_semi"), texts, m, concepts, key)
+    r = r.join(ok.toDF("lo", "hi"), ["lo", "hi"], "left_semi").join(d.toDF("lo", "hi", "first", "second"), ["lo", "hi"], "left")
+    src = F.when(F.col("kind") == "prereq", F.col("second")).when(F.col("kind") == "unlock", F.col("first")).otherwise(F.col("lo"))
+    dst = F.when(F.col("kind") == "prereq", F.col("first")).when(F.col("kind") == "unlock", F.col("second")).otherwise(F.col("hi"))
+    etype = F.when(F.col("kind") == "prereq", "REQUIRES").when(F.col("kind") == "unlock", "UNLOCKS").otherwise("RELATED")
+    e = r.groupBy(src.alias("src"), dst.alias("dst"), etype.alias("edge_type")).agg(F.min_by(F.struct("relation", "source"), F.struct("rec_id", "pos", "relation")).alias("r"))
+    return e.select("src", "dst", "edge_type", "r.relation", "r.source")

@@ -9,6 +9,7 @@ from ..functions.text import source_category
 from ..operators import evidence as V
 from ..operators import graph as G
 from ..operators import relations as R
+from ..operators.records import alias_index
 from ..tables import read
 from . import duck as D
 from .q_graph import GRAPH, _cid, _e
@@ -122,6 +123,13 @@ def rel8(spark, sf):
     return e.select("src", "dst", "edge_type").distinct().join(ok.select(F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"], "left_semi").groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("rel8_edges")
+def rel8b(spark, sf):
+    o = read(spark, sf, "okf_results", "rec_id", "concept_name", "prerequisites", "unlocks", "related_to", "relation_provenance", *_K)
+    t = _chunks(spark, sf).withColumn("ord", F.concat("doc_id", F.lit(":"), "chunk_id"))
+    return R.oriented_edges(o, t, _mentions(spark, sf), _concepts(spark, sf, "difficulty"), alias_index(read(spark, sf, "concept_reference", "ref_id", "canonical_name")), _K)
+
+
 @query("rel10_promoted_unlocks", f"SELECT rec_id, x.concept AS target, list_contains({D.items(R.UNLOCK_LABELS)}, lower(trim(x.relation))) AS promoted FROM (SELECT rec_id, unnest(related_to) AS x FROM okf_results) WHERE x.concept IS NOT NULL")
 def rel10(spark, sf):
     o = read(spark, sf, "okf_results", "rec_id", F.explode("related_to").alias("x")).where("x.concept is not null")

@@ -324,3 +324,16 @@ def test_closed_references_have_all_kinds_and_positions(spark):
     rows += [dict(concept_name=n) for n in "BCDE"] + [dict(concept_name="F", unlocks=["A"]), dict(concept_name="G", unlocks=["A"], chunk_id="e")]
     got = {tuple(r) for r in relations.closed_references(recs(spark, rows)).collect()}
     assert got == {(1, "prereq", 5, "B"), (1, "unlock", 0, "B"), (1, "related", 0, "C")}
+
+
+def test_oriented_edges(spark):
+    c = spark.createDataFrame([("Graph Search", "Graph Search", "expert"), ("Token Pooling", "Token Pooling", "foundational"), ("Kernel Method", "Kernel Method", None)], "id string, name string, difficulty string")
+    t = spark.createDataFrame([("d", "1", "d:1", "graph search before token pooling"), ("d", "2", "d:2", "kernel method")], "doc_id string, chunk_id string, ord string, text string")
+    m = relations.mentions(t, c.select("id", "name"), ["doc_id", "chunk_id"])
+    idx = records.alias_index(spark.createDataFrame([(1, "Graph Search"), (2, "Token Pooling"), (3, "Kernel Method")], "ord int, name string"))
+    r = recs(spark, [
+        dict(concept_name="graph-search", prerequisites=["Token Pooling", "Kernel Method"], related_to=[("Token Pooling", "extends")]), dict(concept_name="Token Pooling", unlocks=["Graph Search"], related_to=[("graph search", "uses")], chunk_id="z"),
+        dict(concept_name="Token Pooling", prerequisites=["Graph Search"], chunk_id="y"),
+    ])
+    got = {tuple(x) for x in relations.oriented_edges(r, t, m, c, idx, ["doc_id", "chunk_id"]).collect()}
+    assert got == {("Token Pooling", "Graph Search", "REQUIRES", "requires", "d:c"), ("Graph Search", "Token Pooling", "UNLOCKS", "enables", "d:z"), ("Graph Search", "Token Pooling", "RELATED", "extends", "d:c")}
