@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import queries as U
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import compose as P
 from ..operators import dataset as S
 from ..operators import filters as L
 from ..operators import graph as G
@@ -402,6 +403,30 @@ def cmp1(spark, sf):
     return R.merged_concepts(k).select("name_key", "rec_id", "n_records")
 
 
+def _records(spark, sf):
+    return read(spark, sf, "okf_results", "rec_id", "doc_id", "concept_name", "concept_type", "difficulty", "summary", "prerequisites", "unlocks", "related_to", "relation_provenance", "chunk_id", "section_title", "page_number", "source_passage")
+
+
+@query("cmp1_whole_concepts")
+def cmp1b(spark, sf):
+    return P.clean_pipeline(_records(spark, sf), read(spark, sf, "chunks", "doc_id", "chunk_id", "text"), [])[0]
+
+
+@query("cmp1_whole_facts")
+def cmp1c(spark, sf):
+    return P.clean_pipeline(_records(spark, sf), read(spark, sf, "chunks", "doc_id", "chunk_id", "text"), [])[1]
+
+
+@query("cmp2_whole_concepts")
+def cmp2b(spark, sf):
+    return P.clean_and_canonicalize(_records(spark, sf))[0]
+
+
+@query("cmp2_whole_references")
+def cmp2c(spark, sf):
+    return P.clean_and_canonicalize(_records(spark, sf))[1]
+
+
 @query("cmp4_documents_per_concept")
 def flagship(spark, sf):
     """Chunks the documents, keeps prose, finds the concepts it names and ranks them by documents."""

@@ -337,3 +337,31 @@ def test_oriented_edges(spark):
     ])
     got = {tuple(x) for x in relations.oriented_edges(r, t, m, c, idx, ["doc_id", "chunk_id"]).collect()}
     assert got == {("Token Pooling", "Graph Search", "REQUIRES", "requires", "d:c"), ("Graph Search", "Token Pooling", "UNLOCKS", "enables", "d:z"), ("Graph Search", "Token Pooling", "RELATED", "extends", "d:c")}
+
+
+def test_clean_pipeline_runs_all_stages(spark):
+    from loomgraph.operators import compose
+
+    r = recs(spark, [dict(concept_name="Graph Search", prerequisites=["Graph Serch"]), dict(concept_name="Graph Serch", unlocks=["Tensor"], chunk_id="e"), dict(concept_name="Tensor"), dict(concept_name="Kernel Pooling", chunk_id="e")])
+    r = r.withColumn("source_passage", F.when(F.col("rec_id") == 3, "a tensor"))
+    c = spark.createDataFrame([("d", "c", "Graph search of nodes."), ("d", "e", "The graph serch is here.")], "doc_id string, chunk_id string, text string")
+    concepts, facts = compose.clean_pipeline(r, c, ["graph"])
+    assert [(x.name_key, x.concept_name, x.rec_id, x.n_records) for x in concepts.collect()] == [("graph search", "Graph Search", 1, 2)]
+    assert {(x.name_key, x.kind, x.target, x.source) for x in facts.collect()} == {("graph search", "prereq", "graph search", "d:c"), ("graph search", "unlock", "tensor", "d:e")}
+    assert {x.name_key for x in compose.clean_pipeline(r, c, [])[0].collect()} == {"graph search", "tensor"}
+
+
+def test_clean_and_canonicalize_runs_all_steps(spark):
+    from loomgraph.operators import compose
+
+    text = "neural network, language model, tensor algebra and gradient flow"
+    r = recs(spark, [
+        dict(concept_name="Neural Network", difficulty="intermediate", prerequisites=["neural network", "12 13", "Tensor Algebra", "Gradient Flow"], related_to=[("Language Models", "extends"), ("Elsewhere Known", "uses")]),
+        dict(concept_name="Neural Networks", difficulty="intermediate", summary="the longer summary", unlocks=["Tensor Algebras"]), dict(concept_name="Language Model", difficulty="foundational", summary=""),
+        dict(concept_name="Tensor Algebra", difficulty="foundational", section_title="Chapter"), dict(concept_name="Gradient Flow", difficulty="expert"), dict(concept_name="Neural Network", section_title="References", unlocks=["Lost Thing"]),
+    ]).withColumn("source_passage", F.lit(text))
+    concepts, refs = compose.clean_and_canonicalize(r)
+    got = {x.concept_name: (x.rec_id, x.n_records, x.summary) for x in concepts.collect()}
+    assert got == {"Neural Network": (1, 2, "the longer summary"), "Language Model": (3, 1, ""), "Tensor Algebra": (4, 1, "s"), "Gradient Flow": (5, 1, "s")}
+    # out: the self reference, the number, the unlock that closes a cycle, the prerequisite two levels harder; targets nobody extracted stay
+    assert {tuple(x) for x in refs.collect()} == {("Neural Network", "prereq", "requires", "Tensor Algebra", "d:c"), ("Neural Network", "related", "extends", "Language Model", "d:c"), ("Neural Network", "related", "uses", "Elsewhere Known", "d:c")}
