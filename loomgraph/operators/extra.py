@@ -1,4 +1,4 @@
-"""Edges by hand, gold comparison, anchors, intents, scrubbing of training records, citations in answers (GRF-3, GRF-10, JON-18, RNK-7..10, INT-5..7, TRN-4..33, CIT-10, CMP-3..7)."""
+"""Edges by hand, gold comparison, anchors, intents, scrubbing of training records, citations in answers (CAN-15, CIT-10, CMP-3, EVL-1, GRF-3, GRF-10, INT-5, INT-6, JON-18, REL-6, RNK-7, RNK-9, RNK-10, TRN-4, TRN-16, TRN-19, TRN-24, TRN-25, TRN-28, TRN-29, TRN-31)."""
 
 from __future__ import annotations
 
