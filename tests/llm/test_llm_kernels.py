@@ -101,11 +101,50 @@ def damaged(words, every):
     "text, found",
     [
         (ITEM, True), ("x y " * 50 + ITEM.upper().replace(" ", ",\n") + " end " * 30, True), (" ".join(ITEM.split()[:40]), True), (" ".join(ITEM.split()[:20]), False),
-        (" ".join(damaged(ITEM.split(), 9)), True), (" ".join(reversed(ITEM.split())), False), ("", False), ("w1 w2 w3", False), (" ".join(w + " gap" * 30 for w in ITEM.split()), False),
+        (" ".join(damaged(ITEM.split(), 9)), True), (" ".join(damaged(ITEM.split(), 4)), True), (" ".join(damaged(ITEM.split(), 2)), False), (" ".join(reversed(ITEM.split())), False), ("", False), ("w1 w2 w3", False), (" ".join(w + " gap" * 30 for w in ITEM.split()), False),
     ],
 )
 def test_item_index(text, found):
-    assert bool(leaks.ItemIndex([(7, ITEM), (8, None), (9, "too short")]).search([text, ""])) is found
+    assert bool(leaks.ItemIndex([(7, ITEM), (8, None), (9, "too short")]).search([leaks.normal_words(text), []])) is found
+
+
+@settings(max_examples=60)
+@given(st.integers(1, 140), st.integers(0, 3), st.randoms(use_true_random=False))
+def test_no_copy_within_the_error_budget_is_missed(m, cut, rng):
+    """Words lost at the ends and every fourth kept word changed, as far as the budget goes: enough pieces survive."""
+    words = [f"w{i}" for i in range(m)]
+    k = int(leaks.BUDGET * m)
+    a, b = sorted((rng.randint(0, k * cut // 3), rng.randint(0, k * cut // 3)))
+    kept = words[a : m - (b - a)] if b > a else words[a:]
+    room = k - (m - len(kept))
+    copy = [("zz" if i % 4 == 3 and i // 4 < room else w) for i, w in enumerate(kept)]
+    q = leaks.piece_length(m)
+    pieces = {tuple(words[i : i + q]) for i in range(m - q + 1)}
+    assert sum(tuple(copy[i : i + q]) in pieces for i in range(len(copy) - q + 1)) >= max(1, leaks.intact(m, q))
+
+
+def test_items_of_any_length():
+    long = [f"v{i}" for i in range(20_000)]
+    index = leaks.ItemIndex([(1, "alpha"), (2, "alpha beta gamma"), (3, " ".join(long)), (4, "")])
+    got = lambda t: sorted(i for _, i in index.search([leaks.normal_words(t)]))
+    assert got("so alpha, yes") == [1] and got("Alpha Beta-gamma") in ([1], [1, 2]) and got("alpha beta gamma") == [1, 2] and got("nothing here") == []
+    assert got("x " * 50 + " ".join(w for i, w in enumerate(long) if not 4_000 <= i < 9_000)) == [3]
+
+
+def test_distances_are_the_edit_distances():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice("abcdef") for _ in range(n))) for k, n in enumerate((1, 5, 63, 64, 65, 130))]
+    index = leaks.ItemIndex(items)
+    text = [rng.choice("abcdefg") for _ in range(150)]
+    ids = np.array([index.vocab[w] for w in text])
+    it, lo = np.arange(6), np.array([0, 3, 10, 0, 20, 5])
+    got = index.distances(it, ids, lo, np.array([150, 60, 140, 150, 149, 150]))
+    want = [myers_search(masks(items[k][1].split()), len(items[k][1].split()), text[a:b])[0] for k, a, b in zip(it, lo, (150, 60, 140, 150, 149, 150))]
+    assert got.tolist() == want
 
 
 @pytest.mark.parametrize(

@@ -250,7 +250,7 @@ def test_leaks_equal_brute_force_in_blocks(spark):
     dd = spark.createDataFrame(docs, "doc_id int, text string").withColumn("item_id", F.lit(0))
     it = spark.createDataFrame([*items, (77, None), (78, "one two")], "item_id int, item_text string").withColumn("doc_id", F.lit(0))
     one = {tuple(r) for r in leaks.find_leaks(dd, it, "doc_id", "text", "item_id", "item_text").collect()}
-    assert one == want == {tuple(r) for r in leaks.find_leaks(dd, it, "doc_id", "text", "item_id", "item_text", block_chars=900).collect()}
+    assert one == want == {tuple(r) for r in leaks.find_leaks(dd, it, "doc_id", "text", "item_id", "item_text", block_chars=3000).collect()}
     assert leaks.find_leaks(dd.limit(0), it, "doc_id", "text", "item_id", "item_text").count() == 0 and leaks.find_leaks(dd, it.limit(0), "doc_id", "text", "item_id", "item_text").count() == 0
 
 
