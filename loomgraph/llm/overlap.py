@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -12,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, salted_join
-from .words import banded_distance, normal_words
+from .words import banded_distance, normal_words, passage_of
 
 SHARE = 0.14
 SPARE = 3
 MAX_SEGMENT = 5
 SALTS = 8
-_FOOTER = re.compile(r"\n\s*\n[^\n]*(?:json|answer|return|respond|output)[^\n]*:?\s*$", re.I)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -32,12 +30,6 @@ def segment_length(n: int, share: float = SHARE) -> int:
     return max(1, min(MAX_SEGMENT, n // (errors(n, share) + SPARE)))
 
 
-def passage_of(instruction: str) -> str:
-    """The passage after `TEXT:` without the closing line of the prompt; the whole text if there is no mark."""
-    p = instruction.split("TEXT:", 1)[-1]
-    return _FOOTER.sub("", p)
-
-
 class _Hashes(dict):
     def __missing__(self, w):
         b = w.encode("utf-8", "replace")

@@ -9,19 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import COMMON, FOREIGN
-from .words import lcs_length, masks, normal_words
+from .language import LanguageModel
+from .words import lcs_length, masks, normal_words, passage_of
 
 SHINGLE = 5
 COPY_SHARE = 0.8
 COPY_PART = 0.35
+COPY_SHORT = 0.9
 REFUSAL_SHARE = 0.8
 PREVIEW_CHARS = 220
 
 _THINK = re.compile(r"^\s*<think>.*?(?:</think>\s*|\Z)", re.S)
 _FENCE = re.compile(r"^```[\w-]*[ \t]*\n?(.*?)(?:\n?```\s*)?$", re.S)
-_PASSAGE = re.compile(r"TEXT:\s*")
-_FOOTER = re.compile(r"\n\s*\n[^\n]*(?:json|answer|return|respond|output)[^\n]*:?\s*$", re.I)
 _END = re.compile(r"[.!?。][\"'”’»)\]*_`]*\s*$|[”\"’»]\s*$")
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)("?)')
 _SUMMARY = re.compile(r'"summary"\s*:\s*"((?:[^"\\]|\\.)*)("?)')
@@ -38,41 +37,35 @@ REFUSALS = tuple(
     )
 )
 _REFUSAL_MASKS = tuple((masks(t), len(t)) for t in REFUSALS)
-_REFUSAL_HINT = re.compile(
-    r"\b(?:can.?t|cannot|not able|unable|not be (?:able|appropriate)|decline[sd]?|pass on|won.?t|will not|outside what|not something|not feel|not comfortable|sorry|apologi[sz]e|regrettably|unfortunately|as an (?:ai|assistant))\b", re.I
-)
+_IN_REFUSALS: dict[str, tuple[int, ...]] = {w: tuple(k for k, t in enumerate(REFUSALS) if w in t) for t in REFUSALS for w in t}
 # Words that introduce a refusal.
 _LEADS = frozenset(normal_words("sorry I'm am apologise apologize regrettably unfortunately but as an assistant AI please note that we"))
+_SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+")
 
 
 def refuses(text: str) -> bool:
-    """Whether the opening words of an answer align with a refusal: the common subsequence with a template is at least
-    REFUSAL_SHARE of the template, close together and near the start."""
-    head = text[:400]
-    if not _REFUSAL_HINT.search(head):
-        return False
-    words = normal_words(head)[:40]
-    lead = 0
-    while lead < len(words) and lead < 8 and words[lead] in _LEADS:
-        lead += 1
-    for start in {0, lead, max(0, lead - 1), max(0, lead - 2)}:
-        for peq, m in _REFUSAL_MASKS:
-            if lcs_length(peq, m, words[start : start + m + 2]) >= max(2, REFUSAL_SHARE * m):
-                return True
+    """Whether a sentence of a text, wherever it stands, opens like a refusal: the longest common subsequence of its first words with a
+    template is at least REFUSAL_SHARE of the template. Templates with too few words in the sentence need no alignment."""
+    for sentence in _SENTENCE.split(text):
+        words = normal_words(sentence)
+        hits: dict[int, int] = {}
+        for w in set(words):
+            for k in _IN_REFUSALS.get(w, ()):
+                hits[k] = hits.get(k, 0) + 1
+        near = [k for k, n in hits.items() if n >= 2 and n >= REFUSAL_SHARE * len(set(REFUSALS[k]))]
+        if not near:
+            continue
+        lead = 0
+        while lead < len(words) and words[lead] in _LEADS:
+            lead += 1
+        for start in {0, lead, max(0, lead - 1), max(0, lead - 2)}:
+            for k in near:
+                peq, m = _REFUSAL_MASKS[k]
+                if lcs_length(peq, m, words[start : start + m + 2]) >= max(2, REFUSAL_SHARE * m):
+                    return True
     return False
 
 
-def language(words: list[str]) -> str | None:
-    """en, de, es, fr or pt by function words; None where too few tell."""
-    if len(words) < 4:
-        return None
-    counts = {"en": sum(w in COMMON for w in words)}
-    for k, v in FOREIGN.items():
-        counts[k] = sum(w in v for w in words)
-    (best, n), (_, second) = sorted(counts.items(), key=lambda x: -x[1])[:2]
-    return best if n >= 2 and n > second and n * 8 >= len(words) else None
-
-
 def unwrap(answer: str) -> str:
     """The answer without an empty think block, code fence or lead-in before its JSON."""
     t = _THINK.sub("", answer).strip("﻿ \t\r\n ​")
@@ -111,10 +104,12 @@ def _names(v) -> list[str]:
 
 def copies(answer: list[str], source: list[str]) -> bool:
     """Whether an answer gives back the source or most of it: by the share of its shingles that the source has, and where
-    shingles leave it open by the longest common subsequence."""
+    shingles leave it open by the longest common subsequence. An answer too short for shingles is a copy if it is nearly all of the source."""
     n = len(answer)
-    if n < SHINGLE + 3 or not source:
+    if not n or not source:
         return False
+    if n < SHINGLE + 3:
+        return n >= COPY_SHARE * len(source) and lcs_length(masks(answer), n, source) >= COPY_SHORT * max(n, len(source))
     mine = [tuple(answer[i : i + SHINGLE]) for i in range(n - SHINGLE + 1)]
     theirs = {tuple(source[i : i + SHINGLE]) for i in range(len(source) - SHINGLE + 1)}
     share = sum(x in theirs for x in mine) / len(mine)
@@ -126,10 +121,10 @@ def copies(answer: list[str], source: list[str]) -> bool:
     return n >= COPY_PART * len(source) or n >= 25
 
 
-def defect(prompt: str | None, context: str | None, answer: str | None, limit: int = 0) -> str | None:
+def defect(prompt: str | None, context: str | None, answer: str | None, limit: int = 0, model: LanguageModel | None = None) -> str | None:
     """The defect of an answer, or None. `prompt` is the instruction, `context` the text of the chunk where the prompt isn't kept;
     `limit` > 0 says that answers of that length were cut on purpose. The first defect that holds is given: empty, refusal,
-    copy, language, truncated."""
+    copy, language, truncated. Whole answers are read; without a `model` no language is told."""
     cut = limit > 0 and answer is not None and len(answer) >= limit
     body = unwrap(answer or "")
     if not re.search(r"\w", body):
@@ -157,23 +152,23 @@ def defect(prompt: str | None, context: str | None, answer: str | None, limit: i
     else:
         texts, names = [body], []
     free = " ".join(texts)
-    if any(refuses(t) for t in texts[:2]) or any(refuses(n) for n in names[:1] if len(n.split()) <= 3 and re.search("declin|refus", n, re.I)):
+    if any(map(refuses, texts)) or any(len(n.split()) <= 3 and re.search("declin|refus", n, re.I) for n in names[:1]):
         return "refusal"
     passage = context or ""
     if prompt is not None:
-        parts = _PASSAGE.split(prompt, maxsplit=1)
-        passage = _FOOTER.sub("", parts[-1]) if len(parts) > 1 else prompt
+        passage = passage_of(prompt)
     words = normal_words(free)
-    if len(words) >= SHINGLE + 3:
+    if words:
         source = normal_words(passage)
-        if not is_json or len(texts) == 1 and len(texts[0]) > 200 or whole and isinstance(parsed, str) or not names:
+        if not is_json or not names or whole and isinstance(parsed, str):
             if copies(words, source) or (prompt is not None and copies(words, normal_words(prompt))):
                 return "copy"
-        elif any(len(t) > 80 and copies(normal_words(t), source) for t in texts):
+        elif any(copies(normal_words(t), source) for t in texts) or copies(words, source) and len(texts) > 1:
             return "copy"
-        spoken, asked = language(words), language(source)
-        if spoken and asked and spoken != asked:
-            return "language"
+        if model is not None and len(words) >= 8:
+            spoken, asked = model.of_words(words), model.of_words(source)
+            if spoken and asked and spoken != asked:
+                return "language"
     if cut:
         return None
     if not whole and is_json:
@@ -183,21 +178,37 @@ def defect(prompt: str | None, context: str | None, answer: str | None, limit: i
     return None
 
 
-def _flag(batches):
-    for batch in batches:
-        origin, row, prompt, context, answer, limit = (batch.column(k) for k in range(6))
-        out = [defect(*x) for x in zip(prompt.to_pylist(), context.to_pylist(), answer.to_pylist(), limit.to_pylist())]
-        keep = [k for k, x in enumerate(out) if x]
-        at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([origin.take(at), row.take(at), pa.array([out[k] for k in keep], pa.string())], names=["origin", "row_id", "defect"])
+def _flag(model):
+    def run(batches):
+        lm = model.value if model is not None else None
+        for batch in batches:
+            origin, row, prompt, context, answer, limit = (batch.column(k) for k in range(6))
+            out = [defect(*x, lm) for x in zip(prompt.to_pylist(), context.to_pylist(), answer.to_pylist(), limit.to_pylist())]
+            yield pa.RecordBatch.from_arrays([origin, row, pa.array(out, pa.string())], names=["origin", "row_id", "defect"])
+
+    return run
 
 
-def flag_pairs(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, model: LanguageModel | None) -> DataFrame:
+    src = rows.select("origin", F.col("row_id").cast("bigint"), "prompt", "context", "answer", F.col("limit").cast("int"))
+    bc = rows.sparkSession.sparkContext.broadcast(model) if model is not None else None  # bounded by the model's languages and trigrams
+    return src.mapInArrow(_flag(bc), "origin string, row_id bigint, defect string")
+
+
+def flag_pairs(rows: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """(origin, row_id, defect) of the defective rows of (origin string, row_id bigint, prompt string, context string, answer string,
     limit int); one map over the rows, no shuffle.
 
     A null answer is empty; a null prompt and context leave only the tests that need neither. An empty JSON array is a proper
     answer. Repeated rows each come out. An empty table gives no rows.
     """
-    src = rows.select("origin", F.col("row_id").cast("bigint"), "prompt", "context", "answer", F.col("limit").cast("int"))
-    return src.mapInArrow(_flag, "origin string, row_id bigint, defect string")
+    return _judged(rows, model).where("defect is not null")
+
+
+def flag_in_contexts(rows: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """As flag_pairs for rows that come once for each of several contexts under one (origin, row_id): a copy of any context is a copy,
+    another defect must hold in all of them (the first by name if they differ). One row comes out for each (origin, row_id)."""
+    per = _judged(rows, model).groupBy("origin", "row_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("defect").alias("c"), F.min("defect").alias("d"), F.max(F.coalesce(F.col("defect") == "copy", F.lit(False))).alias("copy")
+    )
+    return per.select("origin", "row_id", F.when(F.col("copy"), F.lit("copy")).when(F.col("n") == F.col("c"), F.col("d")).alias("defect")).where("defect is not null")

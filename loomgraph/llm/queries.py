@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read
-from . import canon_match, common, dups, leaks, mix, overlap, packing, pairs, reading, splits, text_stats
+from . import canon_match, common, dups, language, leaks, mix, overlap, packing, pairs, reading, splits, text_stats
 
 
 def _mixed(spark: SparkSession, sf: str):
@@ -92,20 +92,23 @@ def p5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return occ.join(found.where("ref_id = -1"), "raw").select(F.col("raw").alias("value"), "n_uses")
 
 
-def _pair_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _model(spark: SparkSession, sf: str) -> language.LanguageModel:
+    return language.fit_languages(read(spark, sf, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = _model(spark, sf)
+    none = F.lit(None).cast("string")
     p = read(spark, sf, "sft_pairs", "pair_id", "instruction", "output").select(
-        F.lit("sft_pairs").alias("origin"), F.col("pair_id").alias("row_id"), F.col("instruction").alias("prompt"), F.lit(None).cast("string").alias("context"), F.col("output").alias("answer"), F.lit(0).alias("limit")
+        F.lit("sft_pairs").alias("origin"), F.col("pair_id").alias("row_id"), F.col("instruction").alias("prompt"), none.alias("context"), F.col("output").alias("answer"), F.lit(0).alias("limit")
     )
-    chunks = read(spark, sf, "chunks", "doc_id", "chunk_id", "text").groupBy("doc_id", "chunk_id").agg(F.min("text").alias("text"))
+    # every different text that a key has is a context
+    chunks = read(spark, sf, "chunks", "doc_id", "chunk_id", "text").distinct()
     e = read(spark, sf, "lib_qwen_ingestion_eval", "eval_id", "doc_id", "chunk_id", "raw_preview")
-    e = common.salted_join(e, chunks, ["doc_id", "chunk_id"], "eval_id", 4, "left").select(
-        F.lit("lib_qwen_ingestion_eval").alias("origin"), F.col("eval_id").alias("row_id"), F.lit(None).cast("string").alias("prompt"), F.col("text").alias("context"), F.col("raw_preview").alias("answer"), F.lit(pairs.PREVIEW_CHARS).alias("limit")
+    e = common.salted_join(e, chunks, ["doc_id", "chunk_id"], "eval_id", 8, "left").select(
+        F.lit("lib_qwen_ingestion_eval").alias("origin"), F.col("eval_id").alias("row_id"), none.alias("prompt"), F.col("text").alias("context"), F.col("raw_preview").alias("answer"), F.lit(pairs.PREVIEW_CHARS).alias("limit")
     )
-    return p.unionByName(e)
-
-
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.flag_pairs(_pair_rows(spark, sf))
+    return pairs.flag_pairs(p, model).unionByName(pairs.flag_in_contexts(e, model))
 
 
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:

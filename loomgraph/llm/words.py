@@ -20,6 +20,18 @@ def normal_words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+# Closing lines of prompts, in normal form, that stand after the passage.
+ENDINGS = frozenset({"answer with the json array and nothing else"})
+
+
+def passage_of(instruction: str, endings: frozenset = ENDINGS) -> str:
+    """The passage after `TEXT:`; the whole text if there is no mark. A last line that is one of the known prompt endings goes, any other
+    last line belongs to the passage."""
+    p = instruction.split("TEXT:", 1)[-1].rstrip()
+    body, cut, last = p.rpartition("\n")
+    return body if cut and " ".join(normal_words(last)) in endings else p
+
+
 def masks(pattern) -> dict:
     """Positions of each symbol of a pattern as bits."""
     out: dict = {}
