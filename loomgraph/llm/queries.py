@@ -25,8 +25,12 @@ def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("source_category", "target_share", F.round("actual_share", 6).alias("actual_share"), "records", F.col("available").alias("available_chars"), "copies", F.col("emitted").alias("emitted_chars"), F.round("rate", 6).alias("rate"))
 
 
+def _model(spark: SparkSession, sf: str) -> language.LanguageModel:
+    return language.fit_languages(read(spark, sf, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
-    return text_stats.document_stats(read(spark, sf, "okf_results", "rec_id", "source_passage"), "rec_id", "source_passage")
+    return text_stats.document_stats(read(spark, sf, "okf_results", "rec_id", "source_passage"), "rec_id", "source_passage", _model(spark, sf))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,10 +96,6 @@ def p5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return occ.join(found.where("ref_id = -1"), "raw").select(F.col("raw").alias("value"), "n_uses")
 
 
-def _model(spark: SparkSession, sf: str) -> language.LanguageModel:
-    return language.fit_languages(read(spark, sf, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
-
-
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     model = _model(spark, sf)
     none = F.lit(None).cast("string")
@@ -157,7 +157,7 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
     labels = read(spark, sf, "reading_labels", "passage_id", "passage_text", "reading_level")
-    return reading.reading_levels(read(spark, sf, "documents", "doc_id", "text"), labels, "doc_id", "text", "passage_id", "passage_text", "reading_level")
+    return reading.reading_levels(read(spark, sf, "documents", "doc_id", "text"), labels, "doc_id", "text", "passage_id", "passage_text", "reading_level", _model(spark, sf))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

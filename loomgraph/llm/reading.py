@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .text_stats import COMMON, NAMES, text_stats
+from .language import LanguageModel
+from .text_stats import COMMON, HOME, NAMES, text_stats
 
 VOCABULARY = 65_536
-SHARE = 0.9
-WINDOW = 30
+SHARES = (0.9, 0.75, 0.5)
 LONG = 150
-MIN_WORDS = 20
-MAX_LEVELS = 64
-_WORDS = re.compile(r"[a-z]+(?:['’][a-z]+)?")
-_BREAK = re.compile(r"(?<=[a-zA-Z])-\n\s*(?=[a-zA-Z])")
+MIN_WORDS = 4
+MAX_LEVELS = 1_000
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_BREAK = re.compile(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])")
 _CAPITAL = re.compile(r"(?<=[\w,;:’'\-)]\s)[A-Z][a-z]*\b")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)]*\s+")
 _I = {n: k for k, n in enumerate(NAMES)}
@@ -30,7 +30,7 @@ def _count_words(batches):
     for batch in batches:
         c: Counter = Counter()
         for t in batch.column(0).to_pylist():
-            c.update(_WORDS.findall(_BREAK.sub("", t.lower())))
+            c.update(_WORDS.findall(_BREAK.sub("", t).lower()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
 
@@ -50,9 +50,9 @@ def frequency_ranks(docs: DataFrame, text: str, vocabulary: int = VOCABULARY) ->
     return counts.where(F.col("bin") >= least).drop("bin").orderBy(F.desc("n"), "word").limit(vocabulary)
 
 
-def english_prose(text: str) -> bool:
-    """Whether a text as a whole is English running prose: most of its tokens stand outside lists, tables and references,
-    and English function words outweigh those of other languages."""
+def prose(text: str) -> bool:
+    """Whether a text as a whole is running prose: most of its tokens stand outside lists, tables and references, and
+    function words join them."""
     c, d = text_stats(text)
     g = {n: c[k] for n, k in _I.items()}
     words = g["words"]
@@ -60,31 +60,26 @@ def english_prose(text: str) -> bool:
         return False
     if g["common"] * 100 < words * 14:
         return False
-    if g["singles"] * 10 >= g["tokens"] * 4 or g["damaged"] * 5 >= g["tokens"] or d <= 30 and d * 4 <= words:
+    if g["singles"] * 10 >= g["tokens"] * 4 or g["damaged"] * 5 >= g["tokens"] or words >= MIN_WORDS * 5 and d <= 30 and d * 4 <= words:
         return False
     apart = g["plain_short"] + g["items"] + g["cells"] + g["toc"] + g["listings"]
-    if apart * 10 >= g["lines"] * 8 and g["lines"] >= 4 and g["terminals"] * 20 < words:
-        return False
-    return max(g["de"], g["es"], g["fr"], g["pt"]) < g["common"]
-
-
-def _units(text: str):
-    """(words, words of a sentence or 0) of each sentence; a stretch that holds several sentences without marks (function words
-    with a capital inside it) or is too long for one is cut into windows whose sentence length is not known."""
-    for s in _SENTENCE.split(_BREAK.sub("", text)):
-        ws = _WORDS.findall(s.lower())
-        if len(ws) < 4:
-            continue
-        lost = len(ws) > LONG or len(ws) > 8 and sum(w.lower() in COMMON for w in _CAPITAL.findall(s)) >= 1
-        if not lost:
-            yield ws, len(ws)
-        elif len(ws) <= WINDOW + 8:
-            yield ws, 0
-        else:
-            for k in range(0, len(ws), WINDOW):
-                part = ws[k : k + WINDOW]
-                if len(part) >= 8:
-                    yield part, 0
+    return not (apart * 10 >= g["lines"] * 8 and g["lines"] >= 4 and g["terminals"] * 20 < words) and (g["terminals"] > 0 or words >= MIN_WORDS * 5)
+
+
+def sentence_length(text: str) -> int:
+    """Words of the sentence in which the middle word of the text stands, with its sentences in order of length; 0 where none can be told. A stretch that
+    holds several sentences without marks (function words with a capital inside it) or is too long for one tells nothing."""
+    lengths: Counter = Counter()
+    for s in _SENTENCE.split(text):
+        n = len(_WORDS.findall(s))
+        if n and not (n > LONG or n > 8 and any(w.lower() in COMMON for w in _CAPITAL.findall(s))):
+            lengths[n] += n
+    half, have = sum(lengths.values()) / 2, 0
+    for n in sorted(lengths):
+        have += lengths[n]
+        if have >= half:
+            return n
+    return 0
 
 
 class _Ranks(dict):
@@ -94,54 +89,62 @@ class _Ranks(dict):
         return len(self) + 1
 
 
-def _features(ranks, check: bool):
+def coverage_ranks(ranks: list[int], shares=SHARES) -> list[int]:
+    """For each share the size of the smallest frequency-ranked vocabulary that covers it, from the ranks of a document's tokens."""
+    count = sorted(Counter(ranks).items())
+    need = [math.ceil(s * len(ranks)) for s in shares]
+    out, have, k = [0] * len(shares), 0, len(shares) - 1
+    for rank, n in count:
+        have += n
+        while k >= 0 and have >= need[k]:
+            out[k] = rank
+            k -= 1
+    return out
+
+
+def _features(ranks, model):
     def run(batches):
         get = _Ranks(ranks.value).__getitem__
+        lm = model.value if model is not None else None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at, n, cover, half, length, sentence = [], [], [], [], [], []
+            at, cover, sentence = [], [], []
             for k, t in enumerate(texts):
-                if check and not english_prose(t):
+                if lm is not None and not prose(t):
+                    continue
+                t = _BREAK.sub("", t)
+                ws = _WORDS.findall(t.lower())
+                if len(ws) < MIN_WORDS or lm is not None and lm.of_words(ws) != HOME:
                     continue
-                for ws, sl in _units(t):
-                    r = sorted(map(get, ws))
-                    m = len(r)
-                    at.append(k)
-                    n.append(m)
-                    cover.append(r[-int(-SHARE * m // 1) - 1])
-                    half.append(r[(m - 1) // 2])
-                    length.append(sum(map(len, ws)) / m)
-                    sentence.append(sl)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(cover, pa.int64()), pa.array(half, pa.int64()), pa.array(length, pa.float64()), pa.array(sentence, pa.int64())],
-                names=["id", "n", "cover", "half", "length", "sentence"],
-            )
+                at.append(k)
+                cover.append(coverage_ranks(list(map(get, ws))))
+                sentence.append(sentence_length(t))
+            cols = [pa.array([c[k] for c in cover], pa.int64()) for k in range(len(SHARES))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *cols, pa.array(sentence, pa.int64())], names=["id", *[f"c{k}" for k in range(len(SHARES))], "sentence"])
 
     return run
 
 
-def _unit_table(df: DataFrame, id_col: str, text: str, ranks, check: bool) -> DataFrame:
+def _document_table(df: DataFrame, id_col: str, text: str, ranks, model) -> DataFrame:
     src = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    rows = src.mapInArrow(_features(ranks, check), f"id {kind}, n bigint, cover bigint, half bigint, length double, sentence bigint")
-    # coverage ranks and sentence lengths act on a logarithmic scale; without punctuation there is no sentence length
-    return rows.select(
-        "id", "n", F.log2("cover").alias("x0"), F.log2("half").alias("x1"), F.col("length").alias("x2"),
-        F.when(F.col("sentence") > 0, F.log2("sentence")).alias("x3"),
-    )
+    rows = src.mapInArrow(_features(ranks, model), f"id {kind}, {', '.join(f'c{k} bigint' for k in range(len(SHARES)))}, sentence bigint")
+    # ranks and sentence lengths act on a logarithmic scale; without punctuation there is no sentence length
+    return rows.select("id", *[F.log2(f"c{k}").alias(f"x{k}") for k in range(len(SHARES))], F.when(F.col("sentence") > 0, F.log2("sentence")).alias(f"x{len(SHARES)}"))
 
 
-FEATURES = ("x0", "x1", "x2", "x3")
-FLOOR = (0.25, 0.5, 0.25, 0.15)
+FEATURES = tuple(f"x{k}" for k in range(len(SHARES) + 1))
+FLOOR = 0.1
 
 
-def reading_levels(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str, passage_id: str, passage: str, level: str, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(doc_id, reading_level) of every document that is English running prose.
+def reading_levels(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str, passage_id: str, passage: str, level: str, model: LanguageModel, vocabulary: int = VOCABULARY) -> DataFrame:
+    """(doc_id, reading_level) of every document that is running prose in the language HOME, as `model` tells it.
 
-    Words are ranked by frequency over all documents. For each sentence the smallest frequency-ranked vocabulary that covers
-    SHARE of its words is found (its rank), with the rank that covers half, the mean word length and the sentence length. SQL calibrates
-    these on the labelled passages (mean and deviation per level) and gives each sentence the likeliest level; a document has the
-    level of most of its words. Ranks above `vocabulary` count as one class, so the table sent to the executors is bounded.
+    Words are ranked by frequency over all documents. For each document the smallest frequency-ranked vocabularies that cover SHARES
+    of its tokens are found (their ranks), and the sentence length that half of its words reach. SQL calibrates ranks and sentence
+    complexity on the labelled passages (mean and deviation per level) and gives each document the likeliest level. As ranks and
+    sentence length are quantiles over a document's words, the level in which most of it is written prevails. Ranks above
+    `vocabulary` count as one class, so the table sent to the executors is bounded.
 
     Null and blank texts, texts of under MIN_WORDS words, other languages, lists and tables have no row, whatever their labels
     say. Ties go to the level that comes first by name. Without labels nothing can be levelled and the result is empty.
@@ -149,32 +152,26 @@ def reading_levels(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str,
     spark = docs.sparkSession
     ranked = [r.word for r in frequency_ranks(docs, text, vocabulary).collect()]  # at most `vocabulary` words
     ranks = spark.sparkContext.broadcast({w: k + 1 for k, w in enumerate(ranked)})
+    lm = spark.sparkContext.broadcast(model)  # bounded by the model's languages and trigrams
     marks = labelled.where(F.col(level).isNotNull()).select(F.col(passage_id).alias("__p"), F.col(passage).alias("__t"), F.col(level).alias("__l"))
-    known = _unit_table(marks.select(F.struct("__p", "__l").alias("__k"), "__t"), "__k", "__t", ranks, False).withColumn("level", F.col("id.__l"))
+    known = _document_table(marks.select(F.struct("__p", "__l").alias("__k"), "__t"), "__k", "__t", ranks, None).withColumn("level", F.col("id.__l"))
     stats = known.groupBy("level").agg(
         *[F.avg(x).alias(f"m{k}") for k, x in enumerate(FEATURES)], *[F.stddev_pop(x).alias(f"s{k}") for k, x in enumerate(FEATURES)]
-    ).orderBy("level").limit(MAX_LEVELS).collect()
-    units = _unit_table(docs, doc_id, text, ranks, True)
+    ).orderBy("level").limit(MAX_LEVELS + 1).collect()
+    if len(stats) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} reading levels")
+    rows = _document_table(docs, doc_id, text, ranks, lm)
     if not stats:
-        return units.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("reading_level")).limit(0)
+        return rows.select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("reading_level")).limit(0)
     scores = []
     for r in stats:
         s = F.lit(0.0)
         for k, x in enumerate(FEATURES):
             if r[f"m{k}"] is None:
                 continue
-            sd = max(r[f"s{k}"] or 0.0, FLOOR[k])
+            sd = max(r[f"s{k}"] or 0.0, FLOOR)
             z = (F.col(x) - F.lit(float(r[f"m{k}"]))) / F.lit(float(sd))
-            s = s + F.coalesce(-z * z / 2 - F.lit(float(np.log(sd))), F.lit(0.0))
-        scores.append(s)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    pick = None
-    for r, s in zip(stats, scores):
-        pick = F.when(s >= best, F.lit(r.level)) if pick is None else pick.when(s >= best, F.lit(r.level))
-    votes = units.withColumn("level", pick).groupBy("id").agg(*[F.sum(F.when(F.col("level") == r.level, F.col("n")).otherwise(0)).alias(f"v{k}") for k, r in enumerate(stats)])
-    vs = [F.col(f"v{k}") for k in range(len(stats))]
-    most = F.greatest(*vs) if len(vs) > 1 else vs[0]
-    out = None
-    for k, r in enumerate(stats):
-        out = F.when(vs[k] == most, F.lit(r.level)) if out is None else out.when(vs[k] == most, F.lit(r.level))
-    return votes.select(F.col("id").alias("doc_id"), out.alias("reading_level"))
+            s = s + F.coalesce(-z * z / 2 - F.lit(math.log(sd)), F.lit(0.0))
+        scores.append(F.struct(s.alias("s"), F.lit(r.level).alias("l")))
+    best = F.aggregate(F.array(*scores[1:]), scores[0], lambda a, x: F.when(x["s"] > a["s"], x).otherwise(a)) if len(scores) > 1 else scores[0]
+    return rows.select(F.col("id").alias("doc_id"), best["l"].alias("reading_level"))

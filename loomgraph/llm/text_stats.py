@@ -12,27 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .language import LanguageModel
 
-CHUNK_CHARS = 200_000
+CELL = 65_536
+CHUNK_CHARS = 4 * CELL
+HOME = "en"
 FAN_IN = 16
 BINS = 64
 
-# The commonest function words of English, and those that tell German, Spanish, French and Portuguese from it.
+# The commonest function words of English.
 COMMON = frozenset(
     "the a an of to and in is that for it as with by on be are this which from or can but not we each then when if so one its their other"
     " than more only at has have had was were you your they he she his her my our all any some who what how why there here will would could may"
     " do does did no into while whenever since because although before after without both between whose these those them it's don't never often".split()
 )
-FOREIGN = {
-    "de": frozenset("der die das und ist nicht ein eine einem einen eines wie mit von zu den dem des auf für wer sich auch aus werden wird wurde nur wenn doch oder obwohl weil im danach zuerst davon kennt bevor".split()),
-    "es": frozenset("el la los las un una de que y en con se cómo por para del al no es más pero su sus sin otro otra si queda hay aunque cuando después quien unas unos antes primero".split()),
-    "fr": frozenset("le la les un une des du de et est que qui dans en au aux pour par sur ne pas ce cette comment puis mais peu d'entre elles car si encore plus avec bien même reste quand sont il faut tant".split()),
-    "pt": frozenset("o a os as um uma de do da dos das que e em com se como por para no na nos nas não é mais mas sem ao outro outra ainda houver quem depois depressa antes pouco embora poucas nem".split()),
-}
 # Words of page furniture.
 FURNITURE = frozenset("home menu search subscribe share print download login log in cookies cookie accept all help back next prev previous top page of sign up out contact sitemap privacy policy terms skip".split())
 
 WORD, COMMONW, NUMBER, TERMINAL, DAMAGED, SINGLE, SEPARATOR, LONG, NAV, STARTS = (1 << k for k in range(10))
+_BLANK = re.compile(r"\s")
 _CORE = re.compile(r"^[^\w]*(.*?)[^\w]*$", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-/][^\W\d_]+)*$")
 _NUMBER = re.compile(r"[-+±~≈<>$€£]?\d[\d.,:/%×x±–-]*%?$|^(?:n/a|yes|no|-)$")
@@ -46,6 +44,7 @@ _LABEL = re.compile(r"\s*(?:keywords?|topics?|see also|index|terms?|tags?|conten
 _GAP = re.compile(r"\S(?:\t+| {3,})(?=\S)")
 _CELLS = re.compile(r"\s[|&]\s|\t")
 _TIGHT = re.compile(r"[^\s,],(?=[^\s,])")
+_RUN_TOGETHER = re.compile(r"[^\W\d_]{25,}")
 _LISTING = re.compile(r"\s/\s|[;,]\s|\s[·•|]\s")
 
 
@@ -90,8 +89,9 @@ def _damaged(core: str) -> bool:
     return odd >= 1
 
 
-# A token's counts in one integer, FIELD bits each, so that a line's counts are one sum.
-FIELD = 28
+# A token's counts in one integer, FIELD bits each, so that a line's counts are one sum. No field can overflow: a text has under 2^31
+# characters, so no count or sum of lengths reaches 2^FIELD.
+FIELD = 40
 _MASK = (1 << FIELD) - 1
 _PACKED = (WORD, COMMONW, NUMBER, TERMINAL, DAMAGED, SINGLE, SEPARATOR, NAV, STARTS)
 
@@ -118,22 +118,13 @@ class _Bins(dict):
         return v
 
 
-class _Foreign(dict):
-    def __missing__(self, tok):
-        w = tok.lower().strip(".,;:!?\"'()")
-        v = sum((w in words) << FIELD * k for k, words in enumerate(FOREIGN.values()))
-        if len(self) < 300_000 and len(tok) <= 64:
-            self[tok] = v
-        return v
-
-
-_COUNTS, _BIN, _ABROAD = _Packed(), _Bins(), _Foreign()
+_COUNTS, _BIN = _Packed(), _Bins()
 
 
 # The counts of a text; each is a sum over its tokens or lines.
 NAMES = (
     "tokens", "words", "letters", "common", "numbers", "terminals", "damaged", "singles", "long_chars", "nav", "chars",
-    "lines", "ended", "items", "cells", "toc", "listings", "labels", "symbols", "starts", "plain_short", "de", "es", "fr", "pt", "prose_tokens", "item_words",
+    "lines", "ended", "items", "cells", "toc", "listings", "labels", "symbols", "starts", "plain_short", "foreign", "prose_tokens", "item_words",
 )
 _I = {n: k for k, n in enumerate(NAMES)}
 _SYMBOLS = re.compile(r"[^\w\s.,;:'’\"“”()?!-]")
@@ -144,7 +135,7 @@ class Stats:
     """Counts of a chunk: closed lines as sums, and the cut lines at its two ends as state.
 
     `whole` says that the chunk has no line break: then `left` is all of it. Merging is associative: (a+b)+c == a+(b+c).
-    The state is the text of the cut lines, so it never exceeds the document, which is one row anyway.
+    After soft_breaks a line is shorter than 2 x CELL, so the state is of constant size.
     """
 
     sums: list[int] = field(default_factory=lambda: [0] * len(NAMES))
@@ -154,8 +145,35 @@ class Stats:
     whole: bool = True
 
 
-def add_line(sums: list[int], bins: list[int], line: str) -> None:
-    """Adds one whole line to the counts."""
+def soft_breaks(text: str, cell: int = CELL) -> list[str]:
+    """`text` cut behind its first blank in every full cell of `cell` characters that has no line break: the pieces, which count as lines of their own.
+
+    The cells lie on a grid from the start of the text, so a chunk that starts on the grid is cut alike alone and as part of its
+    document. A cell without any blank is cut at its start. Texts below a cell are not touched.
+    """
+    if len(text) < cell:
+        return [text]
+    out, at = [], 0
+    for lo in range(0, len(text) - cell + 1, cell):
+        hi = lo + cell
+        if text.find("\n", lo, hi) >= 0:
+            continue
+        m = _BLANK.search(text, lo, hi)
+        cut = m.end() if m else lo
+        if cut > at:
+            out.append(text[at:cut])
+            at = cut
+    out.append(text[at:])
+    return out
+
+
+def lines_of(text: str, cell: int = CELL) -> list[str]:
+    """The lines of a text, with soft breaks in overlong ones."""
+    return [line for part in soft_breaks(text, cell) for line in part.split("\n")]
+
+
+def add_line(sums: list[int], bins: list[int], line: str, model: LanguageModel | None = None) -> None:
+    """Adds one whole line to the counts; `model` tells the words of lines in another language than HOME."""
     toks = line.split()
     if not toks:
         return
@@ -163,7 +181,6 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
     letters, words, common, numbers, terms, damaged, singles, seps, nav, starts, longc = (packed >> FIELD * k & _MASK for k in range(11))
     for b in set(map(_BIN.__getitem__, toks)):
         bins[b] += 1
-    foreign = None
     n = len(toks)
     last = toks[-1]
     ended = 1 if _COUNTS[last] >> FIELD * 4 & 1 else 0
@@ -174,15 +191,16 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
     if not item and not toc:
         gaps = len(_CELLS.findall(line)) if "|" in line or "&" in line or "\t" in line else 0
         gaps += len(_GAP.findall(line)) if "   " in line or "\t" in line else 0
-        tight = len(_TIGHT.findall(line)) if common <= 1 and "," in line else 0
+        tight = len(_TIGHT.findall(line)) if common <= 1 and "," in line and not _RUN_TOGETHER.search(line) else 0
         if seps >= 1 or gaps >= 1 or (tight >= 1 and common <= 1):
             cells = 1 if common * 5 < n or gaps + seps >= 3 else 0
     listing = 0
     if not cells and common * 10 < n and not item:
         listing = len(_LISTING.findall(line))
         listing = 1 if listing >= 4 and terms <= 1 or label else 0
-    if common * 4 < words and words >= 8:
-        foreign = sum(map(_ABROAD.__getitem__, toks))
+    foreign = 0
+    if model is not None and common * 4 < words and words >= 8 and model.of_text(line) not in (None, HOME):
+        foreign = words
     if cells or toc:
         damaged = longc = singles = 0
     chars = len(line)
@@ -191,30 +209,27 @@ def add_line(sums: list[int], bins: list[int], line: str) -> None:
         ("singles", singles), ("long_chars", longc), ("nav", nav), ("chars", chars), ("lines", 1), ("ended", ended), ("items", item), ("cells", cells),
         ("toc", toc), ("listings", listing), ("labels", label), ("symbols", len(_SYMBOLS.findall(line))), ("starts", starts),
         ("plain_short", 1 if not (item or cells or toc) and n <= 14 and not terms else 0),
-        ("prose_tokens", n if not (item or cells or toc or listing) else 0), ("item_words", common if item else 0),
+        ("foreign", foreign), ("prose_tokens", n if not (item or cells or toc or listing) else 0), ("item_words", common if item else 0),
     ):
         if v:
             sums[_I[k]] += v
-    if foreign:
-        for k, name in enumerate(FOREIGN):
-            sums[_I[name]] += foreign >> FIELD * k & _MASK
 
 
-def chunk_stats(text: str) -> Stats:
-    """The partial counts of one chunk."""
+def chunk_stats(text: str, model: LanguageModel | None = None, cell: int = CELL) -> Stats:
+    """The partial counts of one chunk that starts on the grid of cells."""
     s = Stats()
-    lines = text.split("\n")
+    lines = lines_of(text, cell)
     if len(lines) == 1:
         s.left = text
         return s
     s.whole = False
     s.left, s.right = lines[0], lines[-1]
     for line in lines[1:-1]:
-        add_line(s.sums, s.bins, line)
+        add_line(s.sums, s.bins, line, model)
     return s
 
 
-def merge(a: Stats, b: Stats) -> Stats:
+def merge(a: Stats, b: Stats, model: LanguageModel | None = None) -> Stats:
     """The counts of two chunks that follow each other: the line across the boundary is put together and counted once."""
     out = Stats([x + y for x, y in zip(a.sums, b.sums)], [x + y for x, y in zip(a.bins, b.bins)])
     if a.whole and b.whole:
@@ -227,24 +242,24 @@ def merge(a: Stats, b: Stats) -> Stats:
         out.left, out.right = a.left, a.right + b.left
     else:
         out.left, out.right = a.left, b.right
-        add_line(out.sums, out.bins, a.right + b.left)
+        add_line(out.sums, out.bins, a.right + b.left, model)
     return out
 
 
-def close(s: Stats) -> Stats:
+def close(s: Stats, model: LanguageModel | None = None) -> Stats:
     """The counts of a whole text: the first and last line are closed."""
     out = Stats(list(s.sums), list(s.bins), whole=False)
-    add_line(out.sums, out.bins, s.left)
+    add_line(out.sums, out.bins, s.left, model)
     if not s.whole:
-        add_line(out.sums, out.bins, s.right)
+        add_line(out.sums, out.bins, s.right, model)
     return out
 
 
-def text_stats(text: str) -> tuple[list[int], int]:
+def text_stats(text: str, model: LanguageModel | None = None) -> tuple[list[int], int]:
     """(counts in the order of NAMES, estimate of distinct words) of a whole text."""
     sums, bins = [0] * len(NAMES), [0] * BINS
-    for line in text.split("\n"):
-        add_line(sums, bins, line)
+    for line in lines_of(text):
+        add_line(sums, bins, line, model)
     return sums, distinct(bins)
 
 
@@ -254,68 +269,96 @@ def distinct(bins: list[int]) -> int:
     return round(-BINS * math.log(free / BINS)) if free else 10 * BINS
 
 
-_FIELDS = [f"{n} bigint" for n in NAMES]
+_STATE = "no int, n int, sums array<bigint>, words int, bins array<bigint>, left string, right string, whole boolean"
+_TYPES = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.bool_())
+_COLUMNS = ("no", "n", "sums", "words", "bins", "left", "right", "whole")
+
+
+def _batch(ids, where: list[int], rows: list[tuple]):
+    cols = list(zip(*rows)) if rows else [[]] * len(_COLUMNS)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, _TYPES)]], names=["__id", *_COLUMNS])
+
+
+def _first(model, chunk_chars: int):
+    """A text of one chunk becomes its counts, a longer one its chunks (as `left`, without counts)."""
+
+    def run(batches):
+        lm = model.value if model is not None else None
+        for batch in batches:
+            ids, where, rows, held = batch.column(0), [], [], 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if len(text) <= chunk_chars:
+                    sums, words = text_stats(text, lm)
+                    where.append(k)
+                    rows.append((0, 1, sums, words, None, None, None, None))
+                    continue
+                n = -(-len(text) // chunk_chars)
+                for no in range(n):
+                    where.append(k)
+                    rows.append((no, n, None, None, None, text[no * chunk_chars : (no + 1) * chunk_chars], None, None))
+                    held += chunk_chars
+                    if held > 16 * chunk_chars:  # a batch of chunks stays small
+                        yield _batch(ids, where, rows)
+                        where, rows, held = [], [], 0
+            yield _batch(ids, where, rows)
+
+    return run
 
 
-def _partials(id_type: str):
+def _partials(model, cell: int):
     def run(batches):
+        lm = model.value if model is not None else None
         for batch in batches:
-            ids, nos, ns, chunks = (batch.column(k) for k in range(4))
-            rows = {"sums": [], "bins": [], "left": [], "right": [], "whole": []}
-            for n, text in zip(ns.to_pylist(), chunks.to_pylist()):
-                if n == 1:
-                    s = Stats(whole=False)
-                    for line in text.split("\n"):
-                        add_line(s.sums, s.bins, line)
-                    s.left = s.right = ""
-                else:
-                    s = chunk_stats(text)
-                for k in rows:
-                    rows[k].append(getattr(s, k))
-            yield pa.RecordBatch.from_arrays(
-                [ids, nos, ns, pa.array(rows["sums"], pa.list_(pa.int64())), pa.array(rows["bins"], pa.list_(pa.int64())), pa.array(rows["left"], pa.string()), pa.array(rows["right"], pa.string()), pa.array(rows["whole"], pa.bool_())],
-                names=["__id", "no", "n", "sums", "bins", "left", "right", "whole"],
-            )
+            d = batch.to_pydict()
+            rows = []
+            for no, n, text in zip(d["no"], d["n"], d["left"]):
+                s = chunk_stats(text, lm, cell)
+                rows.append((no, n, s.sums, None, s.bins, s.left, s.right, s.whole))
+            yield _batch(batch.column(0), list(range(len(rows))), rows)
 
     return run
 
 
-def _merge_group(pdf):
-    import pandas as pd
+def _merge_group(model):
+    def run(pdf):
+        import pandas as pd
+
+        lm = model.value if model is not None else None
+        pdf = pdf.sort_values("no")
+        states = [Stats(list(r.sums), list(r.bins), r.left, r.right, bool(r.whole)) for r in pdf.itertuples()]
+        s = states[0]
+        for x in states[1:]:
+            s = merge(s, x, lm)
+        n = -(-int(pdf.n.iloc[0]) // FAN_IN)
+        if n == 1:
+            s = close(s, lm)
+        row = {"no": pdf.no.iloc[0] // FAN_IN, "n": n, "sums": s.sums, "words": distinct(s.bins), "bins": s.bins, "left": s.left if n > 1 else "", "right": s.right if n > 1 else "", "whole": s.whole}
+        return pd.DataFrame([{"__id": pdf["__id"].iloc[0], **row}])
 
-    pdf = pdf.sort_values("no")
-    states = [Stats(list(r.sums), list(r.bins), r.left, r.right, bool(r.whole)) for r in pdf.itertuples()]
-    s = states[0]
-    for x in states[1:]:
-        s = merge(s, x)
-    n = -(-int(pdf.n.iloc[0]) // FAN_IN)
-    if n == 1:
-        s = close(s)
-    return pd.DataFrame([{"__id": pdf["__id"].iloc[0], "no": pdf.no.iloc[0] // FAN_IN, "n": n, "sums": s.sums, "bins": s.bins, "left": s.left if n > 1 else "", "right": s.right if n > 1 else "", "whole": s.whole}])
+    return run
 
 
-def document_stats(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def document_stats(df: DataFrame, id_col: str, text_col: str, model: LanguageModel | None = None, chunk_chars: int = CHUNK_CHARS, cell: int = CELL) -> DataFrame:
     """(id, the counts of NAMES, distinct_words) of every row with a text; ids must be unique.
 
-    Texts above `chunk_chars` are cut into chunks, counted apart with the cut lines as boundary state, and merged in a tree of fan-in
-    FAN_IN, so no task gets more than FAN_IN chunks. Null texts have no row; an empty text has zero counts. Other columns are not kept.
+    Texts above `chunk_chars` (a multiple of `cell`) are cut into chunks that are spread over all tasks, counted apart with the cut lines as boundary
+    state (of constant size, see soft_breaks), and merged in a tree of fan-in FAN_IN, so no task gets more than FAN_IN chunks. Null texts have no
+    row; an empty text has zero counts. Without a `model` no line counts as foreign. Other columns are not kept.
     """
-    t = F.col(text_col)
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(t), F.lit(1)) - 1) / chunk_chars).cast("int"))
-    chunks = F.when(F.length(t) <= chunk_chars, F.array(t)).otherwise(F.transform(starts, lambda i: F.substring(t, i * chunk_chars + 1, F.lit(chunk_chars))))
-    src = df.where(t.isNotNull()).select(F.col(id_col).alias("__id"), chunks.alias("__c"))
-    src = src.select("__id", F.size("__c").alias("n"), F.posexplode("__c").alias("no", "chunk")).select("__id", "no", "n", "chunk")
-    id_type = src.schema["__id"].dataType.simpleString()
-    schema = f"__id {id_type}, no int, n int, sums array<bigint>, bins array<bigint>, left string, right string, whole boolean"
-    states = materialize(src.mapInArrow(_partials(id_type), schema), "text-stats")
+    spark = df.sparkSession
+    chunk_chars = max(cell, chunk_chars // cell * cell)
+    lm = spark.sparkContext.broadcast(model) if model is not None else None  # bounded by the model's languages and trigrams
+    src = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    schema = f"__id {src.schema['__id'].dataType.simpleString()}, {_STATE}"
+    states = materialize(src.mapInArrow(_first(lm, chunk_chars), schema), "text-stats")
     done, rest = states.where("n = 1"), states.where("n > 1")
-    while rest.take(1):
-        step = rest.withColumn("__g", F.floor(F.col("no") / FAN_IN)).groupBy("__id", "__g").applyInPandas(_merge_group, schema)
-        step = materialize(step, "text-stats")
-        done, rest = done.unionByName(step.where("n = 1")), step.where("n > 1")
-    free = F.size(F.filter("bins", lambda x: x == 0))
-    est = F.when(free > 0, F.round(-BINS * F.log(free / BINS))).otherwise(10 * BINS).cast("bigint")
-    return done.select(F.col("__id").alias(id_col), *[F.col("sums")[_I[n]].alias(n) for n in NAMES], est.alias("distinct_words"))
+    if rest.take(1):
+        rest = materialize(rest.repartition("__id", "no").mapInArrow(_partials(lm, cell), schema), "text-stats")
+        while rest.take(1):
+            step = rest.withColumn("__g", F.floor(F.col("no") / FAN_IN)).groupBy("__id", "__g").applyInPandas(_merge_group(lm), schema)
+            step = materialize(step, "text-stats")
+            done, rest = done.unionByName(step.where("n = 1")), step.where("n > 1")
+    return done.select(F.col("__id").alias(id_col), *[F.col("sums")[_I[n]].alias(n) for n in NAMES], F.col("words").cast("bigint").alias("distinct_words"))
 
 
 def ratio(a: str, b: str) -> Column:
@@ -343,6 +386,6 @@ def passage_kind() -> Column:
         .when((F.col("items") + F.col("toc") + F.col("listings") >= F.lit(0.5) * F.col("lines")) & (F.col("item_words") * 5 < F.col("tokens")) & ~sentences, "list")
         .when((F.col("items") + F.col("toc") >= F.lit(0.5) * F.col("lines")) & (F.col("terminals") == 0), "list")
         .when(share("plain_short", "lines", 0.8) & (F.col("lines") >= 4) & (F.col("terminals") == 0), "list")
-        .when(~share("common", "words", 0.05) & ((F.col("de") + F.col("es") + F.col("fr") + F.col("pt")) * 8 < F.col("words")) & (F.col("words") >= 8), "list")
+        .when(~share("common", "words", 0.05) & (F.col("foreign") * 4 < F.col("words")) & (F.col("words") >= 8), "list")
         .otherwise("prose")
     )

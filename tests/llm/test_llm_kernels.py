@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import canon_match, leaks, overlap, pairs, text_stats
+from loomgraph.llm import canon_match, language, leaks, overlap, pairs, reading, text_stats
 from loomgraph.llm.words import banded_distance, lcs_length, masks, myers_search, normal_words, osa_distance
 
 
@@ -67,6 +67,38 @@ def test_statistics_add_up_over_chunks(text, cuts):
         assert s.sums == whole and text_stats.distinct(s.bins) == n
 
 
+@given(st.text("ab \n", max_size=200), st.integers(1, 6))
+def test_soft_breaks_are_alike_in_chunks(text, k):
+    cell, chunk = 8, 8 * k
+    parts = [text_stats.chunk_stats(text[a : a + chunk], None, cell) for a in range(0, max(len(text), 1), chunk)]
+    left = parts[0]
+    for p in parts[1:]:
+        left = text_stats.merge(left, p)
+    sums, bins = [0] * len(text_stats.NAMES), [0] * text_stats.BINS
+    lines = text_stats.lines_of(text, cell)
+    for line in lines:
+        text_stats.add_line(sums, bins, line)
+    s = text_stats.close(left)
+    assert s.sums == sums and s.bins == bins
+    assert "".join(text_stats.soft_breaks(text, cell)) == text and all(len(x) <= 2 * cell for x in lines) or len(text) < cell
+
+
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=40))
+def test_coverage_ranks(ranks):
+    for share, got in zip(reading.SHARES, reading.coverage_ranks(ranks)):
+        assert got == min(r for r in ranks if sum(x <= r for x in ranks) >= share * len(ranks) - 1e-9)
+
+
+def test_the_sentence_of_the_middle_word():
+    assert reading.sentence_length("One two. One two three four five six.") == 6 and reading.sentence_length("") == 0 and reading.sentence_length("Hi. Hi. Ho.") == 1
+
+
+def test_only_known_prompt_endings_are_cut():
+    end = "\n\nAnswer with the JSON array and nothing else:"
+    for passage in ("Graphs have nodes.\n\nThe last layer gives the output of the network.", "The model should return an answer:", "x"):
+        assert overlap.passage_of("Read it.\nTEXT:\n" + passage + end).strip() == passage == overlap.passage_of("TEXT: " + passage).strip()
+
+
 @given(st.integers(1, 400))
 def test_segments_leave_room_for_the_edits(n):
     k, q = overlap.errors(n), overlap.segment_length(n)
@@ -147,6 +179,28 @@ def test_distances_are_the_edit_distances():
     assert got.tolist() == want
 
 
+def model(**texts):
+    counts = {}
+    for lang, text in texts.items():
+        c = counts.setdefault(lang, {})
+        for w in text.lower().split():
+            for g in language.grams(w):
+                c[g] = c.get(g, 0) + 1
+    return language.LanguageModel(counts)
+
+
+LANGUAGES = model(
+    en="the graph is a set of nodes and edges that the model reads in order so we can see which of them are not in it when the reader has learned the words",
+    de="das modell liest die knoten und die kanten weil sie nicht geordnet sind und der graph neu ist wer die knoten kennt versteht auch das wie man sie nicht sieht",
+    fi="malli lukee solmut ja kaaret koska ne eivät ole järjestyksessä ja verkko on uusi joka tuntee solmut ymmärtää myös mallin ja kaaret",
+)
+
+
+def test_language_model():
+    assert LANGUAGES.of_text("The nodes are read in the order that the model has") == "en" and LANGUAGES.of_text("Die Kanten sind nicht neu und das Modell kennt sie") == "de"
+    assert LANGUAGES.of_text("one two") is None and LANGUAGES.of_words([]) is None and language.LanguageModel({}).of_text("a b c d e f") is None
+
+
 @pytest.mark.parametrize(
     "prompt, answer, want",
     [
@@ -155,11 +209,16 @@ def test_distances_are_the_edit_distances():
         ("TEXT: x", "The model reads the nodes in", "truncated"), ("TEXT: x", "The model reads the nodes in order.", None),
         ("TEXT: The graph is a set of nodes and edges that the model reads in order.", "> the graph is a set of nodes and edges that the model reads in order", "copy"),
         ("TEXT: The graph is a set of nodes and edges that the model reads in order.", "Das Modell liest die Knoten und die Kanten, weil sie nicht geordnet sind und der Graph neu ist.", "language"),
+        ("TEXT: Verkko on uusi ja malli lukee solmut ja kaaret järjestyksessä.", "Wer die Knoten kennt, versteht auch das Modell und die Kanten.", "language"),
+        ("TEXT: Graphs have nodes.\n\nThe last layer gives the output of the network.", "Graphs have nodes. The last layer gives the output of the network.", "copy"),
+        ("TEXT: Nine words make up this whole short passage here.", '[{"concept_name": "A", "summary": "Nine words make up this whole short passage here."}]', "copy"),
+        ("TEXT: Two words.", "Two words", "copy"), ("TEXT: x", "The model learns. " * 40 + "I cannot help with that.", "refusal"),
+        ("TEXT: x", '[{"concept_name": "A", "summary": "Fine."}, {"concept_name": "B", "summary": "Good."}, {"concept_name": "C", "summary": "I must decline this request."}]', "refusal"),
         ("TEXT: Das Modell liest die Knoten und die Kanten, weil sie nicht geordnet sind.", "Wer die Knoten kennt, versteht auch das Modell und die Kanten.", None),
     ],
 )
 def test_defects(prompt, answer, want):
-    assert pairs.defect(prompt, None, answer) == want
+    assert pairs.defect(prompt, None, answer, 0, LANGUAGES) == want
 
 
 def test_a_preview_cut_at_its_limit_is_whole():

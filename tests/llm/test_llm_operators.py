@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import canon_match, common, dups, leaks, mix, overlap, packing, pairs, reading, splits, text_stats
+from loomgraph.llm import canon_match, common, dups, language, leaks, mix, overlap, packing, pairs, reading, splits, text_stats
 from loomgraph.llm.words import banded_distance
 
 
@@ -50,7 +50,7 @@ def test_mix_reaches_shares_under_the_caps(spark):
     [
         ("The model reads the nodes in order. It then updates each of the weights once.", "prose"), ("1. Graph Search\n2) Token Pooling\n3. Kernel Masking", "list"), ("[1] Tir, A. and Rud, B. Some trajectory. 1998, pp. 87-138.\n[2] Hes, D. Other. 2000, pp. 1-9.", "list"),
         ("1.1 Start ........ 3\n1.2 More .......... 9", "list"), ("Keywords: alpha one; beta two; gamma three; delta four; eps five; zeta six", "list"), ("a,1.5,20%\nb,2,31%\nc,3.1,-", "table"), ("x | 1 | 2\ny | 3 | 4", "table"), ("h\ti\tj\nk\t1\t2", "table"),
-        ("Home Menu Search Log in « Prev Next » Cookies", "junk"), ("node " * 40, "junk"), ("N o t a l l o f t h e m a t t e r h e r e", "junk"), ("</div></span>\n&nbsp;&nbsp;\n0x11b6eaa4", "junk"), ("", None), ("  \n ", None),
+        ("Fromhereon,layeredrewardprojectionmeansanynumber.Therearewaystomatchawindow,buttheregularoneiseasytoexplain", "junk"), ("Home Menu Search Log in « Prev Next » Cookies", "junk"), ("node " * 40, "junk"), ("N o t a l l o f t h e m a t t e r h e r e", "junk"), ("</div></span>\n&nbsp;&nbsp;\n0x11b6eaa4", "junk"), ("", None), ("  \n ", None),
     ],
 )
 def test_passage_kinds(spark, text, kind):
@@ -62,9 +62,16 @@ def test_huge_texts_are_merged_in_a_tree(spark):
     rng = random.Random(5)
     text = "".join(rng.choice(["the model ", "reads. ", "a,b,c ", "\n", "x | y ", "- item "]) for _ in range(4000))
     df = spark.createDataFrame([(1, text), (2, None), (3, "short one."), (4, "no line break " * 300)], "id int, t string").withColumn("no", F.lit(9)).withColumn("sums", F.lit("clash"))
-    small = {r.id: r for r in text_stats.document_stats(df, "id", "t", chunk_chars=97).collect()}
-    whole = {r.id: r for r in text_stats.document_stats(df, "id", "t").collect()}
-    assert small == whole and set(small) == {1, 3, 4}
+    small = {r.id: r for r in text_stats.document_stats(df, "id", "t", chunk_chars=97, cell=32).collect()}
+    assert set(small) == {1, 3, 4}
+    for k, t in ((1, text), (3, "short one."), (4, "no line break " * 300)):
+        sums, bins = [0] * len(text_stats.NAMES), [0] * text_stats.BINS
+        for line in text_stats.lines_of(t, 32):
+            text_stats.add_line(sums, bins, line)
+        if k == 3:
+            sums, bins = [0] * len(sums), [0] * len(bins)
+            text_stats.add_line(sums, bins, t)
+        assert [small[k][n] for n in text_stats.NAMES] == sums and small[k].distinct_words == text_stats.distinct(bins)
     assert text_stats.document_stats(df.limit(0), "id", "t").count() == 0
 
 
@@ -150,6 +157,23 @@ def test_pairs_keep_every_row(spark):
     assert sorted(tuple(r) for r in pairs.flag_pairs(df).collect()) == [("a", 1, "empty"), ("a", 1, "empty"), ("b", 2, "empty")] and pairs.flag_pairs(df.limit(0)).count() == 0
 
 
+def test_every_text_of_a_chunk_is_a_context(spark):
+    a, b = "The graph is a set of nodes and edges that the model reads in order.", "Another text of the same chunk that says something else at length."
+    rows = [("e", 1, None, a, a, 220), ("e", 1, None, b, a, 220), ("e", 2, None, a, "Fine text.", 220), ("e", 2, None, b, "Fine text.", 220), ("e", 3, None, a, "", 220), ("e", 3, None, b, "", 220), ("e", 4, None, None, "[]", 220)]
+    df = spark.createDataFrame(rows, "origin string, row_id int, prompt string, context string, answer string, limit int")
+    assert sorted(tuple(r) for r in pairs.flag_in_contexts(df).collect()) == [("e", 1, "copy"), ("e", 3, "empty")]
+    assert pairs.flag_in_contexts(df.limit(0)).count() == 0
+
+
+def test_languages_are_fitted_on_labelled_documents(spark):
+    en, de = "The model reads the nodes in order and it then updates each of the weights once. ", "Das Modell liest die Knoten der Reihe nach und danach werden die Gewichte erneuert. "
+    rows = [(i, en * 5, ("en", "EN-gb", None)[i % 3]) for i in range(30)] + [(100 + i, de * 5, "de") for i in range(10)] + [(200, en, "xx"), (201, None, "en"), (202, de * 5, "en")]
+    m = language.fit_languages(spark.createDataFrame(rows, "doc_id int, text string, lang string"), "doc_id", "text", "lang")
+    assert m.languages == ["de", "en"] and m.of_text(en) == "en" and m.of_text(de) == "de"
+    none = language.fit_languages(spark.createDataFrame(rows, "doc_id int, text string, lang string").limit(0), "doc_id", "text", "lang")
+    assert none.of_text(en) is None
+
+
 # --- 7 ---
 
 
@@ -266,7 +290,7 @@ def test_reading_levels_on_held_out_passages(spark):
     labels = spark.read.parquet(f"{path}/reading_labels.parquet").withColumn("fold", F.pmod(F.xxhash64("passage_id"), F.lit(2)))
     held = labels.where("fold = 1").select(F.col("passage_id").alias("doc_id"), F.col("passage_text").alias("text"), F.lit("clash").alias("x0"))
     docs = held.select("doc_id", "text").unionByName(spark.read.parquet(f"{path}/documents.parquet").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
-    got = reading.reading_levels(docs, labels.where("fold = 0"), "doc_id", "text", "passage_id", "passage_text", "reading_level")
+    got = reading.reading_levels(docs, labels.where("fold = 0"), "doc_id", "text", "passage_id", "passage_text", "reading_level", language.fit_languages(spark.read.parquet(f"{path}/documents.parquet"), "doc_id", "text", "lang"))
     j = got.join(labels.select(F.col("passage_id").alias("doc_id"), F.col("reading_level").alias("want")), "doc_id").collect()
     assert len(j) >= 0.9 * held.count() and sum(r.reading_level == r.want for r in j) >= 0.97 * len(j)
 
@@ -274,5 +298,10 @@ def test_reading_levels_on_held_out_passages(spark):
 def test_reading_levels_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "Das ist ein Text und er ist nicht auf Englisch, weil wir das so wollen. " * 5), (4, "- one\n- two\n- three")], "doc_id int, text string").withColumn("n", F.lit(1))
     lab = spark.createDataFrame([(1, "The cat is on the mat and it is old. It sits in the sun.", "easy"), (2, None, "hard"), (3, "x", None)], "passage_id int, passage_text string, reading_level string")
-    args = ("doc_id", "text", "passage_id", "passage_text", "reading_level")
+    counts: dict = {"en": {}, "de": {}}
+    for k, t in (("en", "the cat is on the mat and it is old it sits in the sun"), ("de", "das ist ein text und er ist nicht auf englisch weil wir das so wollen")):
+        for w in t.split():
+            for g in language.grams(w):
+                counts[k][g] = counts[k].get(g, 0) + 1
+    args = ("doc_id", "text", "passage_id", "passage_text", "reading_level", language.LanguageModel(counts))
     assert reading.reading_levels(docs, lab, *args).count() == 0 and reading.reading_levels(docs, lab.limit(0), *args).count() == 0 and reading.reading_levels(docs.limit(0), lab, *args).count() == 0
