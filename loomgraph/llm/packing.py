@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import bisect
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +21,26 @@ GROUPS = 48
 LARGE = 0.25
 MAX_CAPACITY = 1 << 20
 MAX_LIMITS = 100
-PIECE_CHARS = 200_000
+MAX_VOCABULARY = 1 << 26
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a vocabulary file, loaded once per worker."""
+def encoder(path: str, data: bytes | None = None):
+    """The tokenizer of a vocabulary file (or of its content `data`), loaded once per worker."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if data is None:
+            with open(path, "rb") as f:
+                data = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         _ENCODERS[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
-def _sizes(path: str):
+def _sizes(path: str, data):
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, data.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             # whole texts are read; encode_ordinary keeps its memory in proportion to the text
@@ -47,9 +50,14 @@ def _sizes(path: str):
 
 
 def token_sizes(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, n_tokens) of every row; a null or empty text has 0 tokens."""
+    """(id, n_tokens) of every row; a null or empty text has 0 tokens. The vocabulary file is read on the driver and goes with the job, if it has at
+    most MAX_VOCABULARY bytes."""
+    with open(tokenizer, "rb") as f:
+        data = f.read(MAX_VOCABULARY + 1)
+    if len(data) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} bytes")
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    return src.mapInArrow(_sizes(tokenizer), "id bigint, n_tokens bigint")
+    return src.mapInArrow(_sizes(tokenizer, docs.sparkSession.sparkContext.broadcast(data)), "id bigint, n_tokens bigint")
 
 
 # --- the plan, made from histograms of sizes on the driver: its input is bounded by the capacity, not by the data ---
@@ -206,59 +214,38 @@ def best_fit(rooms: dict[int, int], sizes: list[tuple[int, int]], capacity: int)
     return rows, fresh
 
 
-def _pack_one(spark, sizes: DataFrame, limit: str, capacity: int) -> DataFrame:
-    full = sizes.where(F.col("n_tokens") > capacity).withColumn("__w", F.floor(F.col("n_tokens") / capacity))
-    one = F.lit("all")
-    full = running_offset(full.withColumn("__k", one), ["__k"], ["id"], "__w", "__at")
-    pieces = full.select("id", F.posexplode(F.sequence(F.lit(0), (F.col("__w") - 1).cast("int"))).alias("piece_no", "__i"), "__at")
-    pieces = pieces.select("id", "piece_no", F.lit(capacity).cast("bigint").alias("n"), (F.col("__at") + F.col("__i")).alias("container_id"))
-
-    rest = F.when(F.col("n_tokens") > capacity, F.col("n_tokens") % capacity).otherwise(F.col("n_tokens"))
-    items = sizes.select("id", rest.alias("n"), F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(0).cast("int").alias("piece_no"))
-    empty = items.where("n = 0 and piece_no = 0").select("id", "piece_no", "n", F.lit(0).cast("bigint").alias("container_id"))
-    items = materialize(running_offset(items.where("n > 0").withColumn("__one", F.lit(1)), ["n"], ["id"], "__one", "rank").drop("__one"), "pack-items")
-
-    # a row per size: at most `capacity` of them
-    hist = sorted(((r.n, r.c) for r in items.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
-    base = full.agg(F.sum("__w")).first()[0] or 0
-    least = max(1, int(capacity * LARGE))
-    big = [(s, c) for s, c in hist if s > least]
-    small = [(s, c) for s, c in hist if s <= least]
-    groups, per = linear_groups(np.array([s for s, _ in big]), np.array([c for _, c in big]))
-    plan = solve([g[0] for g in groups], [g[2] - g[1] for g in groups], capacity)
-    slots, n_big = [], 0
-    used = [g[1] for g in groups]
-    for items_, n in plan:
-        for i in sorted(set(items_)):
-            for _ in range(items_.count(i)):
-                slots.append((i, used[i], used[i] + n, base + n_big))
-                used[i] += n
-        n_big += n
-    # rank of a large item among all of them: those of larger sizes come before
-    before, run = [], 0
-    for s, c in big:
-        before.append((s, run))
-        run += c
-    first = spark.createDataFrame(before or [(0, 0)], "n bigint, before bigint")
-    cells = [(cell, lo, hi, at) for _, lo, hi, at in slots for cell in range(lo // per, (hi - 1) // per + 1)]
-    slot = spark.createDataFrame(cells or [(-1, 0, 0, 0)], "cell bigint, lo bigint, hi bigint, at bigint")
-    # both tables are bounded by the capacity and the number of configurations
-    large = items.where(F.col("n") > least).join(F.broadcast(first), "n").withColumn("r", F.col("before") + F.col("rank"))
-    large = large.withColumn("cell", F.floor(F.col("r") / per)).join(F.broadcast(slot), "cell").where("r >= lo and r < hi")
-    large = large.select("id", "piece_no", "n", (F.col("at") + F.col("r") - F.col("lo")).alias("container_id"))
-    large = materialize(large, "pack-large")
-
-    rooms = large.groupBy("container_id").agg((F.lit(capacity) - F.sum("n")).alias("room"))
-    rooms = materialize(running_offset(rooms.where("room > 0").withColumn("__one", F.lit(1)), ["room"], ["container_id"], "__one", "seat").drop("__one"), "pack-rooms")
-    free = {r.room: r.c for r in rooms.groupBy("room").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most `capacity` rows
-    rows, _ = best_fit(free, small, capacity)
-    fill = spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 1)], "n bigint, lo bigint, hi bigint, room bigint, seat0 bigint, per bigint")
-    tiny = items.where(F.col("n") <= least).join(F.broadcast(fill), "n").where("rank >= lo and rank < hi")
-    tiny = tiny.select("id", "piece_no", "n", "room", (F.col("seat0") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).alias("seat"))
-    old = tiny.where("room >= 0").join(rooms, ["room", "seat"]).select("id", "piece_no", "n", "container_id")
-    new = tiny.where("room < 0").select("id", "piece_no", "n", (F.lit(base + n_big) + F.col("seat")).alias("container_id"))
-    out = pieces.unionByName(large).unionByName(old).unionByName(new).unionByName(empty)
-    return out.select(F.lit(limit).alias("limit_name"), "container_id", F.col("id").alias("doc_id"), "piece_no", F.col("n").alias("n_tokens"))
+class Plan:
+    """What goes where for one limit, made from its histogram of item sizes (at most `capacity` rows)."""
+
+    def __init__(self, hist: list[tuple[int, int]], capacity: int, base: int):
+        self.capacity, self.base = capacity, base
+        self.least = max(1, int(capacity * LARGE))
+        big = sorted(((s, c) for s, c in hist if s > self.least), reverse=True)
+        self.small = [(s, c) for s, c in hist if s <= self.least]
+        groups, self.per = linear_groups(np.array([s for s, _ in big]), np.array([c for _, c in big]))
+        used = [g[1] for g in groups]
+        self.slots: list[tuple[int, int, int, int]] = []  # cell of ranks, first and last rank + 1, container of the first
+        self.n_big = 0
+        for config, n in solve([g[0] for g in groups], [g[2] - g[1] for g in groups], capacity):
+            for i in config:
+                lo, hi = used[i], used[i] + n
+                self.slots += [(cell, lo, hi, base + self.n_big) for cell in range(lo // self.per, (hi - 1) // self.per + 1)]
+                used[i] = hi
+            self.n_big += n
+        # rank of a large item among all of them: those of larger sizes come before
+        self.before, run = [], 0
+        for s, c in big:
+            self.before.append((s, run))
+            run += c
+
+    def fill(self, rooms: dict[int, int]) -> tuple[list[tuple], list[tuple]]:
+        """The stretches of small items of a size that go into containers of a room, by cells of ranks: (size, cell, from, to, room, first seat,
+        items per container), and the width of the cells per size; a cell meets two stretches on average."""
+        rows, _ = best_fit(rooms, self.small, self.capacity)
+        count, parts = dict(self.small), Counter(r[0] for r in rows)
+        width = {s: max(1, -(-count[s] // n)) for s, n in parts.items()}
+        cells = [(s, cell, lo, hi, room, seat, per) for s, lo, hi, room, seat, per in rows for cell in range(lo // width[s], (hi - 1) // width[s] + 1)]
+        return cells, sorted(width.items())
 
 
 def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
@@ -267,7 +254,8 @@ def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     Linear grouping scheme: items above a quarter of the capacity are put in groups of equal cardinality and rounded up to the group's
     largest; the linear programme over the configurations of the few group sizes is solved on the driver (its input is a histogram with at
     most `capacity` rows); items take their group's slots by rank; the room that is really left is filled with the small items,
-    best fit first, again by histogram. Ranks come from bucket sums, so no task holds all items of a size.
+    best fit first, again by histogram. Ranks come from bucket sums, so no task holds all items of a size. All limits go through the same
+    steps at once. The plans are tables of at most a few rows per token of capacity; they are joined by cells of ranks.
 
     An item is split only if it alone exceeds the capacity: into pieces that fill whole containers and a last one that is packed like any item.
     Items without tokens take no room and are put into container 0. Null ids are kept. Limits with a null or non-positive capacity are left out.
@@ -276,14 +264,60 @@ def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     rows = limits.where("capacity_tokens > 0").select("limit_name", "capacity_tokens").limit(MAX_LIMITS + 1).collect()
     if len(rows) > MAX_LIMITS or any(r.capacity_tokens > MAX_CAPACITY for r in rows):
         raise ValueError("more limits or larger capacities than the plan on the driver is bounded for")
+    named = list(enumerate((r.limit_name, int(r.capacity_tokens)) for r in sorted(rows, key=lambda r: str(r.limit_name))))
     sizes = materialize(sizes.select("id", "n_tokens"), "token-sizes")
-    out = None
-    for r in sorted(rows, key=lambda r: str(r.limit_name)):
-        p = _pack_one(spark, sizes, r.limit_name, int(r.capacity_tokens))
-        out = p if out is None else out.unionByName(p)
-    if out is None:
+    if not named:
         return sizes.select(F.lit(None).cast("string").alias("limit_name"), F.col("id").alias("container_id"), F.col("id").alias("doc_id"), F.lit(0).alias("piece_no"), "n_tokens").limit(0)
-    return out
+    table = lambda data, schema: spark.createDataFrame(data or [tuple(-1 for _ in schema.split(","))], schema)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lim"), F.lit(c).cast("bigint").alias("cap")) for k, (_, c) in named]))
+    s = sizes.select("id", "n_tokens", each.alias("l")).select("id", "n_tokens", "l.lim", "l.cap").withColumn("whole", F.floor(F.col("n_tokens") / F.col("cap")))
+    s = s.withColumn("whole", F.when(F.col("n_tokens") > F.col("cap"), F.col("whole")).otherwise(0))
+
+    full = running_offset(s.where("whole > 0"), ["lim"], ["id"], "whole", "at")
+    pieces = full.select("lim", "id", F.posexplode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("piece_no", "i"), "cap", "at")
+    pieces = pieces.select("lim", (F.col("at") + F.col("i")).alias("container_id"), "id", "piece_no", F.col("cap").alias("n"))
+
+    items = s.select("lim", "id", (F.col("n_tokens") - F.col("whole") * F.col("cap")).alias("n"), F.col("whole").cast("int").alias("piece_no"))
+    empty = items.where("n = 0 and piece_no = 0").select("lim", F.lit(0).cast("bigint").alias("container_id"), "id", "piece_no", "n")
+    items = materialize(running_offset(items.where("n > 0").withColumn("one", F.lit(1)), ["lim", "n"], ["id"], "one", "rank").drop("one"), "pack-items")
+
+    hist: dict[int, list] = {k: [] for k, _ in named}
+    for r in items.groupBy("lim", "n").agg(F.count(F.lit(1)).alias("c")).collect():  # a row per limit and size
+        hist[r.lim].append((r.n, r.c))
+    base = {r.lim: r.w for r in s.groupBy("lim").agg(F.sum("whole").alias("w")).collect()}
+    plans = {k: Plan(hist[k], c, base.get(k) or 0) for k, (_, c) in named}
+    least = F.element_at(F.create_map(*[x for k, p in plans.items() for x in (F.lit(k), F.lit(p.least))]), F.col("lim"))
+    per = F.element_at(F.create_map(*[x for k, p in plans.items() for x in (F.lit(k), F.lit(p.per))]), F.col("lim"))
+
+    first = table([(k, *x) for k, p in plans.items() for x in p.before], "lim int, n bigint, before bigint")
+    slot = table([(k, *x) for k, p in plans.items() for x in p.slots], "lim int, cell bigint, lo bigint, hi bigint, at bigint")
+    # both tables are bounded by the capacities and the number of configurations
+    large = items.where(F.col("n") > least).join(F.broadcast(first), ["lim", "n"]).withColumn("r", F.col("before") + F.col("rank"))
+    large = large.withColumn("cell", F.floor(F.col("r") / per)).join(F.broadcast(slot), ["lim", "cell"]).where("r >= lo and r < hi")
+    large = materialize(large.select("lim", (F.col("at") + F.col("r") - F.col("lo")).alias("container_id"), "id", "piece_no", "n"), "pack-large")
+
+    caps = F.element_at(F.create_map(*[x for k, (_, c) in named for x in (F.lit(k), F.lit(c).cast("bigint"))]), F.col("lim"))
+    rooms = large.groupBy("lim", "container_id").agg(F.sum("n").alias("n")).select("lim", "container_id", (caps - F.col("n")).alias("room")).where("room > 0")
+    rooms = materialize(running_offset(rooms.withColumn("one", F.lit(1)), ["lim", "room"], ["container_id"], "one", "seat").drop("one"), "pack-rooms")
+    free: dict[int, dict] = {k: {} for k, _ in named}
+    for r in rooms.groupBy("lim", "room").agg(F.count(F.lit(1)).alias("c")).collect():  # at most `capacity` rows per limit
+        free[r.lim][r.room] = r.c
+    cells, widths = [], []
+    for k, p in plans.items():
+        c, w = p.fill(free[k])
+        cells += [(k, *x) for x in c]
+        widths += [(k, *x) for x in w]
+    width = table(widths, "lim int, n bigint, width bigint")
+    fill = table(cells, "lim int, n bigint, cell bigint, lo bigint, hi bigint, room bigint, seat0 bigint, per bigint")
+    tiny = items.where(F.col("n") <= least).join(F.broadcast(width), ["lim", "n"]).withColumn("cell", F.floor(F.col("rank") / F.col("width")))
+    tiny = tiny.join(F.broadcast(fill), ["lim", "n", "cell"]).where("rank >= lo and rank < hi")
+    tiny = tiny.select("lim", "id", "piece_no", "n", "room", (F.col("seat0") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).alias("seat"))
+    old = tiny.where("room >= 0").join(rooms, ["lim", "room", "seat"]).select("lim", "container_id", "id", "piece_no", "n")
+    start = F.element_at(F.create_map(*[x for k, p in plans.items() for x in (F.lit(k), F.lit(p.base + p.n_big).cast("bigint"))]), F.col("lim"))
+    new = tiny.where("room < 0").select("lim", (start + F.col("seat")).alias("container_id"), "id", "piece_no", "n")
+    out = pieces.unionByName(large).unionByName(old).unionByName(new).unionByName(empty)
+    names = F.element_at(F.array(*[F.lit(x) for _, (x, _) in named]), F.col("lim") + 1)
+    return out.select(names.alias("limit_name"), "container_id", F.col("id").alias("doc_id"), "piece_no", F.col("n").alias("n_tokens"))
 
 
 def pack_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
