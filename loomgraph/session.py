@@ -47,21 +47,44 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes intermediate tables (as `materialize` returned them) that others have superseded; nothing may read them any more."""
+    for t in tables:
+        path = getattr(t, "written_at", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this session has written as intermediate results; results that read them must have been used before."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
 
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+SALT_ROWS = 1_000_000
+
+
+def salts_for(table: DataFrame) -> int:
+    """Parts for the hot keys of a written table: so many that a key with a third of its rows gives no task more than SALT_ROWS / 3 of
+    them, at least 8. The rows are counted from the footers of its files."""
+    return max(8, -(-table.count() // SALT_ROWS))
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join whose `big` side may hold a third of its rows under one key: the key is split into `salts` parts.
 
