@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import source_category, source_name, unit_hash
+from .common import materialize, salted_join, salts_for, source_category, source_name, unit_hash
 
 MAX_TARGETS = 10_000
 
@@ -16,7 +16,8 @@ def with_category(records: DataFrame, doc_col: str) -> DataFrame:
     keep = [c for c in records.columns if c != doc_col]
     r = records.select(*keep, source_name(F.col(doc_col)).alias("__n"), source_category(F.col(doc_col)).alias("__c"))
     known = r.where("__c is not null").groupBy("__n").agg(F.min("__c").alias("__k"))
-    bare = r.where("__c is null and __n is not null").join(known, "__n", "left")
+    # many rows may name one file
+    bare = salted_join(r.where("__c is null and __n is not null"), known, ["__n"], keep[0], salts_for(records), "left")
     full = r.where("__c is not null or __n is null")
     return full.select(*keep, F.col("__c").alias("source_category")).unionByName(bare.select(*keep, F.col("__k").alias("source_category")))
 
@@ -58,7 +59,7 @@ def mix(records: DataFrame, targets: DataFrame, id_col: str, doc_col: str, size:
     """
     # named apart from the caller's columns, so that none can clash
     base = records.select(F.col(id_col).alias("__id"), F.col(doc_col).alias("__doc"), F.coalesce(size, F.lit(0)).cast("bigint").alias("n"))
-    sizes = with_category(base, "__doc")
+    sizes = materialize(with_category(base, "__doc"), "mix-sizes")
     rates = mixing_rates(sizes, targets, total)
     u = unit_hash(F.coalesce(F.col("__id").cast("string"), F.lit("null")), seed)
     copies = F.floor("rate").cast("int") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)

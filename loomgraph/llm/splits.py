@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_empty
-from .common import materialize, salted_join
+from ..session import discard
+from .common import materialize, salted_join, salts_for
 
-SALTS = 8
 MAX_SPLITS = 1_000
 
 
@@ -25,18 +24,22 @@ def components(edges: DataFrame, seed: int = 7) -> DataFrame:
     e = edges.where("u is not null and v is not null and u <> v")
     e = materialize(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges0")
     parents: list[DataFrame] = []
-    while not is_empty(e):
-        r = len(parents)
+    while n := e.count():  # from the footers of the files
+        r, salts = len(parents), max(8, n // 1_000_000)
+        e0 = e
         coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed), F.lit(r)), F.lit(2))  # noqa: B023, E731
         both = e.withColumn("__cu", coin("u")).withColumn("__cv", coin("v")).where("__cu <> __cv")
         p = both.select(F.when(F.col("__cu") == 0, F.col("u")).otherwise(F.col("v")).alias("child"), F.when(F.col("__cu") == 0, F.col("v")).otherwise(F.col("u")).alias("parent"))
         p = materialize(p.groupBy("child").agg(F.min("parent").alias("parent")), f"parents{r}")
         parents.append(p)
-        e = salted_join(e, p.select(F.col("child").alias("u"), F.col("parent").alias("__pu")), ["u"], "v", SALTS, "left")
-        e = salted_join(e, p.select(F.col("child").alias("v"), F.col("parent").alias("__pv")), ["v"], "u", SALTS, "left")
+        e = salted_join(e, p.select(F.col("child").alias("u"), F.col("parent").alias("__pu")), ["u"], "v", salts, "left")
+        e = salted_join(e, p.select(F.col("child").alias("v"), F.col("parent").alias("__pv")), ["v"], "u", salts, "left")
         e = e.select(F.coalesce("__pu", "u").alias("u"), F.coalesce("__pv", "v").alias("v")).where("u <> v")
-        e = materialize(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"edges{r + 1}")
-    return unwind(parents, edges)
+        last, e = e0, materialize(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"edges{r + 1}")
+        discard(last)
+    labels = unwind(parents, edges)
+    discard(e, *parents)
+    return labels
 
 
 def unwind(parents: list[DataFrame], edges: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def unwind(parents: list[DataFrame], edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = p.select(F.col("child").alias("vertex"), F.col("parent").alias("label"))
             continue
-        up = salted_join(p, labels.select(F.col("vertex").alias("parent"), "label"), ["parent"], "child", SALTS, "left")
+        up = salted_join(p, labels.select(F.col("vertex").alias("parent"), "label"), ["parent"], "child", salts_for(p), "left")
         labels = labels.unionByName(up.select(F.col("child").alias("vertex"), F.coalesce("label", "parent").alias("label")))
         if k % 3 == 2:
             labels = materialize(labels, "labels")
@@ -70,17 +73,17 @@ def group_records(records: DataFrame, id_col: str, keys: list[Column]) -> DataFr
     combos = r.select("__first", *cols).where("__first is not null").distinct()
     edges = reduce(DataFrame.unionByName, [combos.select(F.col("__first").alias("u"), F.col(c).alias("v")) for c in cols])
     labels = components(edges)
-    r = salted_join(r.select("__id", "__first"), labels.select(F.col("vertex").alias("__first"), "label"), ["__first"], "__id", SALTS, "left")
+    r = salted_join(r.select("__id", "__first"), labels.select(F.col("vertex").alias("__first"), "label"), ["__first"], "__id", salts_for(records), "left")
     alone = F.concat(F.lit("row:"), F.coalesce(F.col("__id").cast("string"), F.lit("null")))
-    return r.select(F.col("__id").alias(id_col), F.coalesce("label", "__first", alone).alias("label"))
+    return materialize(r.select(F.col("__id").alias(id_col), F.coalesce("label", "__first", alone).alias("label")), "groups")
 
 
-def assign_splits(grouped: DataFrame, id_col: str, targets: DataFrame, buckets: int = 256, giant: float = 0.005) -> DataFrame:
+def assign_splits(grouped: DataFrame, id_col: str, targets: DataFrame, buckets: int = 256) -> DataFrame:
     """(id, split_name): whole groups in the proportions of `targets` (split_name, target_share), counted in records.
 
-    Groups are laid on a line, those above `giant` of all records first and the rest in hash order; the middle of a group
-    decides its split. Positions come from bucket sums, so no window spans all groups. Shares that don't add up to 1 are scaled;
-    null or negative shares count as 0; without targets the result is empty.
+    Groups are laid on a line by their size in powers of two, large ones first, then in hash order; the middle of a group decides its
+    split, so the last and smallest groups level out what large ones miss. Positions come from bucket sums, so no window spans all
+    groups. Shares that don't add up to 1 are scaled; null or negative shares count as 0; without targets the result is empty.
     """
     rows = targets.groupBy("split_name").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("s")).limit(MAX_SPLITS + 1).collect()
     if len(rows) > MAX_SPLITS:
@@ -90,8 +93,8 @@ def assign_splits(grouped: DataFrame, id_col: str, targets: DataFrame, buckets:
     if not rows:
         return grouped.select(id_col, F.lit(None).cast("string").alias("split_name")).limit(0)
     total = weights.agg(F.sum("w")).first()[0] or 0
-    weights = weights.withColumn("__rank", F.when(F.col("w") >= giant * total, 0).otherwise(1)).withColumn("__b", F.pmod(F.xxhash64("label", F.lit(11)), F.lit(buckets)).cast("int"))
-    # at most 2 x buckets rows under one window
+    weights = weights.withColumn("__rank", -F.floor(F.log2("w")).cast("int")).withColumn("__b", F.pmod(F.xxhash64("label", F.lit(11)), F.lit(buckets)).cast("int"))
+    # at most 64 x buckets rows under one window
     sums = weights.groupBy("__rank", "__b").agg(F.sum("w").alias("__w"))
     before = Window.orderBy("__rank", "__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__rank", "__b", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__start"))
@@ -103,10 +106,10 @@ def assign_splits(grouped: DataFrame, id_col: str, targets: DataFrame, buckets:
         at += s / scale
         case = F.when(F.col("__at") < at, F.lit(name)) if case is None else case.when(F.col("__at") < at, F.lit(name))
     placed = placed.select("label", (case.otherwise(F.lit(rows[-1][0])) if case is not None else F.lit(rows[-1][0])).alias("split_name"))
-    return salted_join(grouped, placed, ["label"], id_col, SALTS).select(id_col, "split_name")
+    return salted_join(grouped, placed, ["label"], id_col, max(8, total // 1_000_000)).select(id_col, "split_name")
 
 
 def group_members(grouped: DataFrame, id_col: str, first: str) -> DataFrame:
     """(first, id): every member of a group but the smallest, beside the smallest; groups of one give nothing."""
     heads = grouped.groupBy("label").agg(F.min(id_col).alias(first), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return salted_join(grouped, heads, ["label"], id_col, SALTS).where(F.col(id_col) > F.col(first)).select(first, id_col)
+    return salted_join(grouped, heads, ["label"], id_col, max(8, grouped.count() // 1_000_000)).where(F.col(id_col) > F.col(first)).select(first, id_col)

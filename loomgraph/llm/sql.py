@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import CHUNK_TAIL, LIGATURES, NO_SOURCE
-from .dups import FIELD
+from .dups import COMMA, FIELD
 
 
 def _q(s: str) -> str:
@@ -52,7 +52,7 @@ def _alnum(x: str) -> str:
     return rf"regexp_replace(lower({_fold(x)}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
-_PARTS = r"list_filter(string_split_regex(summary, '[\n|;]'), lambda p: regexp_matches(p, '[\p{L}\p{N}]'))"
+_PARTS = rf"list_filter(string_split_regex(regexp_replace(summary, {_q(COMMA)}, ';\1', 'g'), '[\n|;]'), lambda p: regexp_matches(p, '[\p{{L}}\p{{N}}]'))"
 DUPLICATES = rf"""a AS (SELECT rec_id, {_alnum('concept_name')} AS n, {_alnum('doc_id')} AS d, summary, {_PARTS} AS ps FROM okf_results WHERE concept_name IS NOT NULL AND doc_id IS NOT NULL AND regexp_matches(summary, '[^\s\x{{a0}}\x{{200b}}\x{{feff}}]')),
  b AS (SELECT rec_id, n, d, CASE WHEN len(ps) > 1 AND len(list_filter(ps, lambda p: NOT regexp_matches(p, {_q(FIELD)}))) = 0 THEN array_to_string(list_sort(list_transform(ps, lambda p: {_alnum('p')})), chr(1)) ELSE {_alnum('summary')} END AS s FROM a),
  g AS (SELECT n, d, s, min(rec_id) AS first_rec_id, count(*) AS copies FROM b GROUP BY 1, 2, 3)"""

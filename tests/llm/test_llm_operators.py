@@ -108,6 +108,10 @@ def test_groups_over_several_keys_and_splits(spark):
     n = {r.split_name: r["count"] for r in s.groupBy("split_name").count().collect()}
     assert sum(n.values()) == 4000 and abs(n["train"] / 4000 - 0.8) < 0.01
     assert s.join(big, "pair_id").groupBy("label").agg(F.count_distinct("split_name").alias("n")).where("n > 1").count() == 0
+    # sizes of every order, one of a quarter of all rows
+    many = spark.range(8000).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 2000, F.lit("quarter")).when(F.col("id") < 2600, F.lit("big")).otherwise(F.concat(F.lit("g"), F.floor(F.sqrt("id")).cast("string"))).alias("label"))
+    n = {r.split_name: r["count"] for r in splits.assign_splits(many, "pair_id", t).groupBy("split_name").count().collect()}
+    assert sum(n.values()) == 8000 and abs(n["train"] / 8000 - 0.8) < 0.02
     assert splits.assign_splits(big.limit(0), "pair_id", t).count() == 0 and splits.assign_splits(big, "pair_id", t.limit(0)).count() == 0
     assert splits.group_records(df.limit(0), "pair_id", [F.col("k")]).count() == 0
 
@@ -126,6 +130,10 @@ def test_hidden_duplicates(spark):
     left = {r.rec_id: r.copies for r in dups.collapse(df, "rec_id", ["concept_name", "doc_id"], ["summary"]).collect()}
     assert left == {2: 3, 1: 2, 9: 1, 3: 1, 4: 1, 6: 1, 10: 1, 11: 1}
     assert dups.collapse(df.limit(0), "rec_id", ["concept_name", "doc_id"], ["summary"]).count() == 0
+    long = "a label of many words that is longer than any other label of this kind"
+    more = [(1, "A", f"{long}: x; cost: 3", "d"), (2, "A", f"Cost: 3 | {long}: X", "d"), (3, "B", '{"role": "x, y", "cost": 3}', "d"), (4, "B", "{'cost': 3, 'role': 'X y'}", "d"), (5, "B", "role x, y cost 3", "d")]
+    keyed = dups.duplicate_keys(spark.createDataFrame(more, "rec_id int, concept_name string, summary string, doc_id string"), "rec_id", ["concept_name", "doc_id"], ["summary"])
+    assert {tuple(r) for r in dups.duplicate_members(keyed, "rec_id", "first").collect()} == {(1, 2), (3, 4)}
 
 
 # --- 5 ---
