@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join
+from .common import materialize, salted_join, salts_for
 from .words import osa_distance
 
 THRESHOLD = 0.2
 MAX_EDITS = 3
-SALTS = 8
+ACRONYM = 3
 _DROP = re.compile("[​‌‍﻿­]")
 _DOTTED = re.compile(r"\b((?:[^\W\d_]\.){2,})\.*")
 _PAREN = re.compile(r"[(\[][^)\]]*[)\]]")
@@ -97,9 +97,11 @@ def name_cost(value: str, surface: str, known: set[str]) -> float | None:
     """Cost of a normal value for a listed name, or None if it doesn't mean it."""
     if value == surface:
         return 0.0
+    if value.rstrip(".") == surface:
+        return 0.0
     v, s = value.split(), surface.split()
-    if len(s) == 1 and len(s[0]) <= 5:
-        return None  # an acronym holds as it is
+    if len(s) == 1 and len(s[0]) <= ACRONYM:
+        return None  # an acronym holds as it is: any other letter makes another one
     if len(v) == len(s):
         total = 0.0
         for a, b in zip(v, s):
@@ -128,31 +130,34 @@ def _prepare(batches):
         yield pa.RecordBatch.from_arrays([raw, pa.array(forms, pa.string()), pa.array([tokens(f) for f in forms], pa.list_(pa.string()))], names=["raw", "form", "toks"])
 
 
-def _best(threshold: float):
-    """The entry that each form means: exact Jaccard similarity of the trigram sets, then the cost of its words."""
+def _confirm(threshold: float):
+    """(form, ref_id, share, cost) of the candidate pairs whose trigram sets are similar enough and whose words can mean the same."""
 
     def run(batches):
         sets: dict[str, frozenset] = {}
+
+        def trigrams(x: str) -> frozenset:
+            if x not in sets:
+                if len(sets) > 100_000:
+                    sets.clear()  # a cache only
+                sets[x] = frozenset(tokens(x))
+            return sets[x]
+
         for batch in batches:
-            out_form, out_ref = [], []
-            for form, cands, known in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                mine, words, best = frozenset(tokens(form)), set(known or ()), None
-                for c in cands:
-                    name = c["s"]
-                    theirs = sets.get(name)
-                    if theirs is None:
-                        theirs = sets[name] = frozenset(tokens(name))
-                    common = len(mine & theirs)
-                    share = common / (len(mine) + len(theirs) - common)
-                    if share < threshold:
-                        continue
-                    cost = name_cost(form, name, words)
-                    if cost is not None and (best is None or (cost, -share, c["ref_id"]) < best):
-                        best = (cost, -share, c["ref_id"])
-                if best is not None:
-                    out_form.append(form)
-                    out_ref.append(best[2])
-            yield pa.RecordBatch.from_arrays([pa.array(out_form, pa.string()), pa.array(out_ref, pa.int64())], names=["form", "ref_id"])
+            form, name, ref, known = (batch.column(k).to_pylist() for k in range(4))
+            at, shares, costs = [], [], []
+            for k, (f, s, w) in enumerate(zip(form, name, known)):
+                mine, theirs = trigrams(f), trigrams(s)
+                common = len(mine & theirs)
+                share = common / (len(mine) + len(theirs) - common)
+                if share >= threshold:
+                    cost = name_cost(f, s, set(w or ()))
+                    if cost is not None:
+                        at.append(k)
+                        shares.append(share)
+                        costs.append(cost)
+            pick = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(2).take(pick), pa.array(shares, pa.float64()), pa.array(costs, pa.float64())], names=["form", "ref_id", "share", "cost"])
 
     return run
 
@@ -173,9 +178,9 @@ def match_values(values: DataFrame, reference: DataFrame, ref_id: str, name: str
     """(raw, ref_id) of every distinct non-null value of the one column of `values`: the entry it means, or -1.
 
     Prefix-filter set-similarity join: each side's trigrams are put in order of global rarity; only the first |x| - ceil(t|x|) + 1 are
-    joined; length and position filters prune; the Jaccard similarity is verified exactly. Of the pairs at `threshold` or more, an exact check
-    of words (misspellings, abbreviations, spelling variants, formatting) decides, and the cheapest entry is kept, then the most similar, then
-    the smallest id. Values are reduced to distinct forms first, so frequent ones cost nothing.
+    joined; length and position filters prune; the Jaccard similarity is verified exactly. The most similar entry of `threshold` or more is kept
+    among those that an exact check of words confirms (misspellings, abbreviations, spelling variants, formatting; words in common alone don't
+    do), ties by the cheaper words, then the smaller id. Values are reduced to distinct forms first, so frequent ones cost nothing.
 
     Empty reference: all -1. Blank values are -1. Repeated entries with one name: the smallest id.
     """
@@ -200,18 +205,20 @@ def match_values(values: DataFrame, reference: DataFrame, ref_id: str, name: str
 
     pv, ps = prefixes(forms, "v"), prefixes(s, "s", "ref_id")
     need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n_v") + F.col("n_s")))
-    pairs = pv.join(ps, "tok").where(
+    # a trigram that many values hold is split, the reference's side is repeated
+    pairs = salted_join(pv, ps, ["tok"], "v", salts_for(v)).where(
         (F.col("n_s") >= F.lit(threshold) * F.col("n_v")) & (F.col("n_v") >= F.lit(threshold) * F.col("n_s"))
         & (F.least(F.col("n_v") - F.col("i_v"), F.col("n_s") - F.col("i_s")) + F.least("i_v", "i_s") >= need)
     )
-    # a form's candidates: at most the reference list
-    cands = pairs.groupBy(F.col("v").alias("form")).agg(F.collect_set(F.struct("s", "ref_id")).alias("cands"))
+    pairs = pairs.select(F.col("v").alias("form"), "s", "ref_id").distinct()
 
     names = prepared.join(reference.select(F.col(name).alias("raw")).distinct(), "raw", "left_semi")
     listed = names.select(F.explode(F.split("form", " ")).alias("w")).distinct()
     spelled = forms.select("form", F.explode(F.split("form", " ")).alias("x")).withColumn("w", F.rtrim(F.col("x"), F.lit(".")))
     known = spelled.join(listed, "w").groupBy("form").agg(F.collect_set("w").alias("known"))  # at most a form's own words
-    best = cands.join(known, "form", "left").select("form", "cands", "known").mapInArrow(_best(threshold), "form string, ref_id bigint")
+    sure = pairs.join(known, "form", "left").select("form", "s", "ref_id", "known").mapInArrow(_confirm(threshold), "form string, ref_id bigint, share double, cost double")
+    # the most similar entry is kept, then the one with the cheapest words, then the smallest id
+    best = sure.groupBy("form").agg(F.max_by("ref_id", F.struct("share", -F.col("cost"), -F.col("ref_id"))).alias("ref_id"))
     return v.select("raw", "form").join(best, "form", "left").select("raw", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))
 
 
@@ -237,4 +244,4 @@ def canonicalise_fields(records: DataFrame, reference: DataFrame, id_col: str, s
     exact = reference.where(F.col(name).isNotNull()).select(F.col(name).alias("raw")).distinct()
     occ = materialize(occ.join(exact, "raw", "left_anti"), "occurrences")
     found = match_values(occ.select("raw"), reference, ref_id, name, aliases)
-    return salted_join(occ, found, ["raw"], id_col, SALTS).select(id_col, "field_name", "pos", "ref_id")
+    return salted_join(occ, found, ["raw"], id_col, salts_for(occ)).select(id_col, "field_name", "pos", "ref_id")

@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join
+from .common import materialize, salted_join, salts_for
 from .words import banded_distance, normal_words, passage_of
 
 SHARE = 0.14
 SPARE = 3
 MAX_SEGMENT = 5
-SALTS = 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -147,7 +146,7 @@ def find_overlaps(pairs: DataFrame, id_col: str, text_col: str, split_col: str,
     rows = materialize(rows.withColumn("key", F.md5("text")).withColumn("train", F.col("split") == train), "passages")
     classes = rows.groupBy("key").agg(F.min("id").alias("cls"), F.first("text").alias("text"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"))
     classes = materialize(classes, "classes")
-    members = salted_join(rows.select("id", "split", "doc", "train", "key"), classes.select("key", "cls"), ["key"], "id", SALTS).drop("key")
+    members = salted_join(rows.select("id", "split", "doc", "train", "key"), classes.select("key", "cls"), ["key"], "id", salts_for(rows)).drop("key")
 
     evals = classes.where("e").select("cls", "text")
     trains = classes.where("t").select("cls", "text")
@@ -157,7 +156,7 @@ def find_overlaps(pairs: DataFrame, id_col: str, text_col: str, split_col: str,
     freq = hits.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
     rare = Window.partitionBy("e").orderBy(F.coalesce("f", F.lit(0)), "at")
     chosen = segs.join(freq, "h", "left").withColumn("__r", F.row_number().over(rare)).withColumn("need", F.least(F.count(F.lit(1)).over(Window.partitionBy("e")) - F.col("k"), F.lit(SPARE))).where(f"__r <= k + {SPARE} and f is not null")
-    cand = chosen.join(hits, "h").where("abs(pos - at) <= k and abs(n - m) <= k and e <> t")
+    cand = salted_join(hits, chosen.drop("f", "__r"), ["h"], "t", salts_for(hits)).where("abs(pos - at) <= k and abs(n - m) <= k and e <> t")
     cand = cand.groupBy("e", "t").agg(F.min("need").alias("need"), F.count_distinct("at").alias("c")).where("c >= need").select("e", "t")
     texts = classes.select("cls", "text")
     both = cand.join(texts.select(F.col("cls").alias("e"), F.col("text").alias("a")), "e").join(texts.select(F.col("cls").alias("t"), F.col("text").alias("b")), "t")
@@ -170,7 +169,8 @@ def row_pairs(o: Overlap) -> DataFrame:
     """(pair_id_a, pair_id_b): every pair of an evaluation and a training row whose passages overlap, the smaller id first."""
     ev = o.members.where("not train").select(F.col("cls").alias("e"), F.col("id").alias("x"))
     tr = o.members.where("train").select(F.col("cls").alias("t"), F.col("id").alias("y"))
-    p = o.links.join(ev, "e").join(tr, "t")
+    # the training rows of a class that a third of all rows share are split; pairs are made last
+    p = salted_join(tr, o.links, ["t"], "y", salts_for(o.members)).join(ev, "e")
     return p.select(F.least("x", "y").alias("pair_id_a"), F.greatest("x", "y").alias("pair_id_b"))
 
 
@@ -181,7 +181,7 @@ def overlap_report(o: Overlap, source: Column) -> DataFrame:
     """
     trained = o.members.where("train").groupBy("cls").agg(F.count(F.lit(1)).alias("c"))
     per = o.links.join(trained.withColumnRenamed("cls", "t"), "t").groupBy("e").agg(F.sum("c").alias("c")).withColumnRenamed("e", "cls")
-    ev = salted_join(o.members.where("not train").withColumn("source", F.coalesce(source, F.lit("unknown"))), per, ["cls"], "id", SALTS, "left")
+    ev = salted_join(o.members.where("not train").withColumn("source", F.coalesce(source, F.lit("unknown"))), per, ["cls"], "id", salts_for(o.links), "left")
     return ev.groupBy(F.col("split").alias("split_name"), "source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("c").alias("n_overlapping"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_pairs")
     )
