@@ -25,17 +25,39 @@ def ratio(a: str | None, b: str | None) -> float:
 
 
 def partial_ratio(a: str | None, b: str | None) -> float:
-    """The best ratio of the shorter string with any stretch of its length of the longer one."""
+    """The best ratio of the shorter string with any stretch of its length of the longer one.
+
+    The letters that a stretch has in common with the shorter string bound its ratio; stretches are tried in falling order of that
+    bound, and none that can't beat the best so far.
+    """
     a, b = a or "", b or ""
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long_ else 0.0
     n = len(short)
+    need: dict[str, int] = {}
+    for ch in short:
+        need[ch] = need.get(ch, 0) + 1
+    have: dict[str, int] = {}
+    common, stretches = 0, []
+    for end in range(1, len(long_) + n):  # the stretch that ends before `end`
+        if end <= len(long_):
+            ch = long_[end - 1]
+            have[ch] = have.get(ch, 0) + 1
+            if have[ch] <= need.get(ch, 0):
+                common += 1
+        if end > n:
+            ch = long_[end - n - 1]
+            if have[ch] <= need.get(ch, 0):
+                common -= 1
+            have[ch] -= 1
+        size = min(end, len(long_)) - max(0, end - n)
+        stretches.append((-200.0 * common / (n + size), end))
     best = 0.0
-    for k in range(1 - n, len(long_)):
-        part = long_[max(0, k) : k + n]
-        if part and 2 * min(n, len(part)) / (n + len(part)) * 100 > best:
-            best = max(best, ratio(short, part))
+    for bound, end in sorted(stretches):
+        if -bound <= best:
+            break
+        best = max(best, ratio(short, long_[max(0, end - n) : end]))
     return best
 
 

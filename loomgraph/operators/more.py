@@ -1,4 +1,4 @@
-"""Remaining projections, exports, routes, payloads and training rows (PRJ, CAN-13..14, EVL-7, RTE, CIT-7..15, LIB-3, TRN-9..30, EXT-4..7)."""
+"""Remaining projections, exports, routes, payloads and training rows (PRJ-4, PRJ-5, CAN-13, CAN-14, EVL-7, GRF-6, RTE-6, CIT-14, CIT-15, LIB-3, TRN-9, TRN-18, TRN-30, EXT-4, EXT-5, EXT-7)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import queries as U
 from ..functions.fuzzy import token_set_ratio
 from ..functions.names import acronym, aliases, canonical_name
 from ..functions.text import strip
@@ -17,16 +16,12 @@ from .filters import RELATIONS, is_bibliography
 from .graph import orphans
 from .relations import mentions
 
-# Aliases too general to name a concept, acronyms that are words, and what a question is expanded by.
+# Aliases too general to name a concept, and acronyms that are words.
 GENERIC_ALIASES = (
     "of", "for", "and", "or", "the", "a", "an", "in", "on", "at", "to", "from", "by", "with", "is", "it", "that", "this", "are", "was", "be", "model", "models", "network", "networks", "data", "system", "systems", "learning", "training", "method",
     "methods", "analysis", "function", "functions", "value", "values",
 )
 WORD_ACRONYMS = ("IS", "IT", "OF", "FOR", "AND", "OR", "THE", "AN", "IN", "ON", "AT", "TO", "BY")
-EXPANSIONS = (
-    (r"\bagents?\b", "autonomous agents multi-agent systems tool use planning decision making language models reinforcement learning"),
-    (r"retrieval", "retrieval augmented generation dense retrieval documents"),
-)
 
 
 def normal_related(records: DataFrame) -> DataFrame:
@@ -56,12 +51,6 @@ def query_aliases(c: Column) -> Column:
     return F.filter(aliases(c), lambda a: (a == own) | ~a.isin(*GENERIC_ALIASES))
 
 
-def expand(q: Column) -> Column:
-    """RNK-2: a question with words that help a vector search."""
-    extra = F.concat_ws(" ", *[F.when(F.lower(q).rlike(p), w) for p, w in EXPANSIONS])
-    return F.concat(q, F.when(extra != "", F.concat(F.lit(" | "), extra)).otherwise(""))
-
-
 def gates(n: DataFrame, e: DataFrame) -> DataFrame:
     """EVL-7: (gate, value, passed) of the size, orphan and self-edge thresholds."""
     total = n.agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -84,22 +73,6 @@ def active_concept(m: DataFrame, conversation: str, turn: str) -> DataFrame:
     return m.groupBy(conversation).agg(F.max_by("id", F.struct(F.col(turn), F.length("id"), F.col("id"))).alias("concept"))
 
 
-def routes(q: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
-    """RTE-1: the route of a question; the first rule that fits: books, identity, small talk, a concept named, a wish to learn, else a reject."""
-    c = F.col(text)
-    j = q.select(key, text).join(named.select(key).distinct().withColumn("__m", F.lit(1)), key, "left")
-    r = (
-        F.when(F.lower(c).rlike(U.BOOKS), "library_books").when(U.is_identity(c), "identity").when(U.is_chitchat(c), "small_talk").when(F.col("__m").isNotNull(), "graph_strong").when(U.holds_any(c, U.LEARNING), "graph_soft").otherwise("low_similarity_reject")
-    )
-    return j.select(key, r.alias("route"))
-
-
-def span(text: Column, start: Column, end: Column) -> Column:
-    """CIT-7: the stretch of a chunk's text that its offsets say, else its first 200 characters."""
-    n = (end - start).cast("int")
-    return F.when((start >= 0) & (end > start), F.substr(text, F.lit(1), n)).otherwise(F.substring(text, 1, 200))
-
-
 def learning_paths(n: DataFrame, e: DataFrame) -> DataFrame:
     """CIT-14 and CIT-15: `prerequisites -> concept -> unlocks` of each concept, at most three names on a side, in order of the alphabet."""
     def side(kind: str, out: str) -> DataFrame:

@@ -84,10 +84,14 @@ def lexical_fit(query: Column, name: Column, summary: Column) -> Column:
 
 
 def rank_concepts(queries: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
-    """RNK-4, RNK-5 and JON-19: (query_id, id, lexical, alias_boost, blended): the k best concepts (id, name, summary, degree) of each question, offline:
-    the lexical fit stands for the cosine."""
+    """RNK-4, RNK-5 and JON-19: (query_id, id, lexical, alias_boost, core_bonus, blended): the k best concepts (id, name, summary, degree) of each question, offline:
+    the lexical fit stands for the cosine. Candidates are the concepts that share a word with the question in their name, an alias or the beginning of their
+    summary; they are found by an equi-join over words, so only candidates are scored."""
     c = concepts.select("id", "name", "summary", "degree", aliases(F.col("name")).alias("al"))
-    j = queries.toDF("query_id", "q").crossJoin(c)  # a stated set of questions against all concepts
+    qs = queries.toDF("query_id", "q")
+    own = F.array_distinct(F.concat(query_words(F.col("name")), F.flatten(F.transform("al", query_words)), query_words(F.substring(F.coalesce("summary", F.lit("")), 1, 300))))
+    found = qs.select("query_id", F.explode(query_words(F.col("q"))).alias("w")).join(c.select("id", F.explode(own).alias("w")), "w").select("query_id", "id").distinct()
+    j = found.join(qs, "query_id").join(c, "id")
     ql, nl = F.lower("q"), F.lower("name")
     qw = query_words(ql)
     core = F.regexp_replace(F.regexp_replace(ql, r"^(what is|what's|whats|explain|tell me about|how does|define)\s+", ""), r"^[ ?!.]+|[ ?!.]+$", "")
@@ -106,6 +110,6 @@ def rank_concepts(queries: DataFrame, concepts: DataFrame, k: int = 5) -> DataFr
     lex = F.when(F.col("boost") >= 0.26, F.greatest("fit", F.lit(0.85))).otherwise(F.col("fit"))
     deg = F.col("degree") / (F.col("degree") + 12.0)
     score = F.col("fit") + 0.15 * F.col("ts") + F.col("whole") + 0.08 * F.col("pt") + 0.12 * lex + F.col("boost") + 0.08 * deg + F.col("bonus")
-    j = j.select("query_id", "id", F.round(lex, 6).alias("lexical"), F.col("boost").alias("alias_boost"), F.round(score, 6).alias("blended"))
+    j = j.select("query_id", "id", F.round(lex, 6).alias("lexical"), F.col("boost").alias("alias_boost"), F.round("bonus", 6).alias("core_bonus"), F.round(score, 6).alias("blended"))
     w = Window.partitionBy("query_id").orderBy(F.desc("blended"), "id")
     return j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

@@ -1,20 +1,18 @@
-"""Rendered texts, scope decisions and lookups (LIB-2, LIB-14, CIT-11, TXT-1, INT-7, TRN-20)."""
+"""Rendered texts and lookups (LIB-2, LIB-14, CIT-11, TXT-1)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import queries as U
 from ..functions.text import let
 from .evidence import page_display
 
-# Words between a book and a concept in a lookup, filler of lookups, openings of questions, and short lists of topics in and out of scope.
+# Words between a book and a concept in a lookup, filler of lookups, openings of questions.
 SPLITTERS = ("discusses", "discussed", "discuss", "mentioning", "mentions", "mentioned", "mention", "containing", "contains", "contained", "contain", "covering", "covers", "covered", "cover")
 LOOKUP_FILLER = r"(?i)\b(which|chapter|section|of|book|paper|where|in)\b"
 QUESTION_HEAD = r"(?i)^(?:what is|what's|whats|explain|tell me about|how does|define|describe|teach me)\s+(?:an?\s+|the\s+)?"
-DOMAIN = ("machine learning", "deep learning", "neural", "model", "agent", "language model", "transformer", "attention", "retrieval", "embedding", "knowledge graph", "dataset", "training", "gradient", "encoder", "decoder", "classification", "regression", "clustering")
-OFF_TOPIC = ("weather", "stock price", "recipe", "football", "soccer", "joke", "horoscope", "astronomy", "world cup", "chemistry", "biology", "shakespeare")
+
 
 
 def lookup_parts(q: DataFrame, key: str, text: str) -> DataFrame:
@@ -39,18 +37,6 @@ def missing_topic(q: Column) -> Column:
     return let(F.regexp_replace(F.regexp_replace(F.trim(q), QUESTION_HEAD, ""), r"^[ ?.!:]+|[ ?.!:]+$", ""), lambda t: F.coalesce(F.nullif(t, F.lit("")), F.lit("that topic")))
 
 
-def scope_reason(q: Column) -> Column:
-    """INT-7: the first reason that decides the scope of a question."""
-    return F.when(U.is_chitchat(q), "chitchat").when(U.holds_any(q, OFF_TOPIC), "offtopic").when(U.holds_any(q, DOMAIN), "domain_terms").when(U.holds_any(q, U.LEARNING), "learning").otherwise("unknown")
-
-
-def concepts_per_row(pairs: DataFrame) -> DataFrame:
-    """TRN-20: (pair_id, n_concepts, n_distinct) of the rows whose answer is a JSON array that names concepts."""
-    cs = F.try_variant_get(F.try_parse_json("output"), "$", "array<struct<concept_name:string>>")
-    c = pairs.select("pair_id", F.explode(cs).alias("c")).where("c.concept_name is not null")
-    return c.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_concepts"), F.count_distinct(F.lower(F.trim("c.concept_name"))).alias("n_distinct"))
-
-
 def chapter_answers(chunks: DataFrame, most: int = 40) -> DataFrame:
     """LIB-9 and LIB-14: (doc_id, listing): a document's chapters by page, at most `most`: the length of the rendered list."""
     c = chunks.where("trim(coalesce(section_title, '')) <> ''").groupBy("doc_id", "section_title").agg(F.min("page_number").alias("page"))

@@ -16,7 +16,7 @@ from ..tables import read
 from . import duck as D
 from .q_graph import GRAPH, _e, _n
 from .q_relations import _K, _REFEDGES, MENTIONS, _concepts, _mentions, _refedges
-from .q_retrieval import _QS, _questions, rnk4
+from .q_retrieval import _QS, _questions
 from .q_text import _REFS
 
 QUERIES: dict = {}
@@ -77,12 +77,6 @@ def grf18(spark, sf):
     return o.join(read(spark, sf, "chunks", "doc_id", "chunk_id").distinct(), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "chunk_id", G.concept_id(F.col("concept_name")).alias("id")).distinct()
 
 
-@query("grf16_one_hop", f"WITH {GRAPH} SELECT n.id, count(*) FILTER (e.edge_type = 'REQUIRES') AS n_prerequisites, count(*) FILTER (e.edge_type = 'UNLOCKS') AS n_unlocks FROM nodes n JOIN edges e ON e.src = n.id GROUP BY 1")
-def grf16(spark, sf):
-    e = _e(spark, sf).groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("edge_type") == "REQUIRES").alias("n_prerequisites"), F.count_if(F.col("edge_type") == "UNLOCKS").alias("n_unlocks"))
-    return _n(spark, sf).select("id").join(e, "id")
-
-
 @query("jon18_gold_matches")
 def jon18(spark, sf):
     return X.gold_matches(read(spark, sf, "okf_results", "concept_name"), read(spark, sf, "concept_reference", "canonical_name"))
@@ -101,42 +95,11 @@ def evl4(spark, sf):
     return r.select(N.concept_key(F.col("concept_name")).alias("a"), N.concept_key(F.col("target")).alias("b")).distinct()
 
 
-@query("rel6_grounded_references", f"WITH {_REFEDGES}, {MENTIONS} SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT src, dst, edge_type FROM re) re WHERE EXISTS (SELECT 1 FROM mentions x JOIN mentions y USING (doc_id, chunk_id) WHERE x.id = re.src AND y.id = re.dst) GROUP BY 1")
-def rel6(spark, sf):
-    e = _refedges(spark, sf).select("src", "dst", "edge_type").distinct()
-    v = B.validated(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), _mentions(spark, sf), _K)
-    r = e.select(F.col("src").alias("concept"), F.col("dst").alias("target"), F.col("edge_type").alias("kind"), F.lit(0).alias("rec_id"), F.lit(0).alias("pos"))
-    return X.grounded_relations(r, v).groupBy(F.col("kind").alias("edge_type")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("rnk7_anchors")
-def rnk7(spark, sf):
-    return X.anchors(rnk4(spark, sf))
-
-
-_CODE, _THEORY = f"regexp_matches(q, {D.q(X.CODE_REQUEST)})", f"regexp_matches(q, {D.q(X.THEORY)})"
-
-
-@query("int5_structural_intents", f"SELECT pair_id, CASE WHEN {_THEORY} AND NOT {_CODE} THEN 'theory' WHEN {_CODE} AND NOT {_THEORY} THEN 'implementation' ELSE 'out_of_domain' END AS intent FROM {_QS}")
-def int5(spark, sf):
-    return _questions(spark, sf).select("pair_id", X.structural_intent(F.col("q"), F.lit("out_of_domain")).alias("intent"))
-
-
-@query("int6_block_reasons", f"SELECT pair_id, CASE WHEN {_THEORY} AND NOT {_CODE} THEN NULL WHEN {_CODE} AND NOT {_THEORY} THEN 'implementation_request' ELSE 'out_of_scope' END AS reason FROM {_QS}")
-def int6(spark, sf):
-    return _questions(spark, sf).select("pair_id", X.block_reason(X.structural_intent(F.col("q"), F.lit("out_of_domain")), F.lit(0.5)).alias("reason"))
-
-
 @query("lib11_book_titles", rf"""SELECT pair_id, regexp_replace(regexp_replace(q, {D.q(U.BOOK_FILLER)}, '', 'g'), '^[ :"''?.]+|[ :"''?.]+$', '', 'g') AS title FROM {_QS}""")
 def lib11(spark, sf):
     return _questions(spark, sf).select("pair_id", U.clean_book(F.col("q")).alias("title"))
 
 
-@query("lib6_chapter_counts", "SELECT doc_id, count(DISTINCT section_title) AS n_chapters, min(page_number) AS first_page FROM chunks WHERE trim(coalesce(section_title, '')) <> '' GROUP BY 1")
-def lib6(spark, sf):
-    return read(spark, sf, "chunks", "doc_id", "section_title", "page_number").where("trim(coalesce(section_title, '')) <> ''").groupBy("doc_id").agg(F.count_distinct("section_title").alias("n_chapters"), F.min("page_number").alias("first_page"))
-
-
 def _few(c: str, n: int) -> str:
     xs = f"list_filter(list_transform(list_filter({c}, lambda x: {D.strip('''coalesce(x, '')''')} <> ''), lambda x: {_train('x')}), lambda x: lower(x) <> lower({_train('concept_name')}))"
     return f"coalesce(array_to_string(list_filter({xs}, lambda x, i: list_position({xs}, x) = i)[1:{n}], '|'), '')"
@@ -167,11 +130,6 @@ def trn28(spark, sf):
     return X.rebuilt_rows(read(spark, sf, "sft_pairs", "pair_id", "instruction"))
 
 
-@query("trn29_canonical_targets", f"WITH {_REFS} SELECT {D.canonical('target')} AS target, count(*) AS n FROM refs GROUP BY 1")
-def trn29(spark, sf):
-    return X.canonical_pairs(L.references(read(spark, sf, "okf_results", "rec_id", "concept_name", "prerequisites", "unlocks", "related_to")))
-
-
 @query("ext8_normal_eval_names", r"SELECT eval_id, trim(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g')) AS key, count(*) AS n FROM (SELECT eval_id, unnest(pred_names) AS n FROM lib_qwen_ingestion_eval) WHERE n IS NOT NULL GROUP BY 1, 2")
 def ext8(spark, sf):
     e = read(spark, sf, "lib_qwen_ingestion_eval", "eval_id", F.explode("pred_names").alias("x")).where("x is not null")
@@ -202,23 +160,6 @@ def cmp3(spark, sf):
     return X.build(o)[1]
 
 
-@query("rnk15_intent_scores")
-def rnk15(spark, sf):
-    return K.pick(K.lexical_intents(read(spark, sf, "heldout_items", "item_id", "item_text"), read(spark, sf, "reading_labels", "reading_level", "passage_text"), ["the", "and", "of"]), "query_id", "label", "score")
-
-
-@query("jon15_prefix_provenance", f"WITH {GRAPH} SELECT split_part(source, ':', 1) AS doc_id, count(*) AS n_edges FROM edges WHERE source IS NOT NULL GROUP BY 1")
-def jon15(spark, sf):
-    return _e(spark, sf).where("source is not null").groupBy(F.substring_index("source", ":", 1).alias("doc_id")).agg(F.count(F.lit(1)).alias("n_edges"))
-
-
-@query("str6_replaced_by_document", "WITH n AS (SELECT DISTINCT source_filename AS doc_id FROM ingestion_jobs WHERE source_filename IS NOT NULL) SELECT (o.doc_id IN (SELECT doc_id FROM n)) AS replaced, count(*) AS n FROM okf_results o WHERE o.doc_id IS NOT NULL GROUP BY 1")
-def str6(spark, sf):
-    n = read(spark, sf, "ingestion_jobs", F.col("source_filename").alias("doc_id")).where("doc_id is not null").distinct().withColumn("x", F.lit(1))
-    o = read(spark, sf, "okf_results", "doc_id").where("doc_id is not null").join(n, "doc_id", "left")
-    return o.groupBy(F.col("x").isNotNull().alias("replaced")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("rte3_graph_coverage", f"WITH v AS (SELECT DISTINCT unnest(string_split_regex(lower(canonical_name), '[^a-z0-9]+')) AS w FROM concept_reference), t AS (SELECT DISTINCT pair_id, unnest(string_split_regex(lower(q), '[^a-z0-9]+')) AS w FROM {_QS}) SELECT pair_id, count(*) FILTER (w IN (SELECT w FROM v)) * 2 >= count(*) AS covered FROM t WHERE length(w) > 3 GROUP BY 1")
 def rte3(spark, sf):
     v = read(spark, sf, "concept_reference", F.explode(F.split(F.lower("canonical_name"), "[^a-z0-9]+")).alias("w")).distinct().withColumn("k", F.lit(1))

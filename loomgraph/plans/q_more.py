@@ -82,11 +82,6 @@ def evl8(spark, sf):
     return n.select("n", N.concept_key(N.canonical_name(F.col("n"))).alias("key"))
 
 
-@query("evl5_name_documents", f"SELECT {D.concept_key('concept_name')} AS key, count(DISTINCT doc_id) AS n_documents FROM okf_results WHERE concept_name IS NOT NULL GROUP BY 1")
-def evl5(spark, sf):
-    return read(spark, sf, "okf_results", "concept_name", "doc_id").where("concept_name is not null").groupBy(N.concept_key(F.col("concept_name")).alias("key")).agg(F.count_distinct("doc_id").alias("n_documents"))
-
-
 @query("evl7_gates", f"""WITH {GRAPH}, v AS (SELECT 'concepts' AS gate, count(*)::double AS value, 80.0 AS least, 1e12 AS most FROM nodes UNION ALL SELECT 'edges', count(*)::double, 80.0, 1e12 FROM edges UNION ALL SELECT 'orphan_share', (count(*) FILTER (id NOT IN (SELECT id FROM ends)))::double / count(*), 0.0, 0.6 FROM nodes
  UNION ALL SELECT 'self_edges', count(*)::double, 0.0, 0.0 FROM edges WHERE src = dst) SELECT gate, round(value, 6) AS value, value BETWEEN least AND most AS passed FROM v""")
 def evl7(spark, sf):
@@ -98,12 +93,6 @@ def trv5(spark, sf):
     return V.best_citations(_evidence(spark, sf), 1).select("id", "doc_id", "chunk_id", F.when(F.col("page_number") > 0, F.col("page_number")).alias("page"))
 
 
-@query("grf5_export_sources", f"WITH {GRAPH} SELECT n.id, count(DISTINCT {{'d': o.doc_id, 'c': o.chunk_id}}) FILTER (o.doc_id IS NOT NULL AND o.chunk_id IS NOT NULL) AS n_sources FROM nodes n JOIN ids ON ids.id = n.id JOIN okf_results o USING (rec_id) GROUP BY 1")
-def grf5(spark, sf):
-    o = read(spark, sf, "okf_results", "concept_name", "doc_id", "chunk_id").where("trim(coalesce(concept_name, '')) <> ''")
-    return o.groupBy(G.concept_id(F.col("concept_name")).alias("id")).agg(F.count_distinct("doc_id", "chunk_id").alias("n_sources"))
-
-
 _PRI = "CASE edge_type WHEN 'REQUIRES' THEN 1 WHEN 'UNLOCKS' THEN 2 ELSE 3 END"
 
 
@@ -125,13 +114,6 @@ def grf17(spark, sf):
     return read(spark, sf, "chunks", "doc_id", "chunk_id", "page_number", "text").distinct().groupBy(*_K).agg(F.max("page_number").alias("page_number"), F.count(F.lit(1)).alias("n_versions"))
 
 
-@query("grf19_node_details", f"WITH {GRAPH} SELECT n.id, n.name, (SELECT count(*) FROM edges WHERE src = n.id) AS n_out, (SELECT count(*) FROM edges WHERE dst = n.id) AS n_in FROM nodes n")
-def grf19(spark, sf):
-    e = _e(spark, sf)
-    out, in_ = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o")), e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
-    return _n(spark, sf).join(out, "id", "left").join(in_, "id", "left").select("id", "name", F.coalesce("o", F.lit(0)).alias("n_out"), F.coalesce("i", F.lit(0)).alias("n_in"))
-
-
 @query("rte6_active_concepts", f"""WITH al AS (SELECT DISTINCT id, {_wf('a')} AS alias FROM (SELECT canonical_name AS id, unnest({D.aliases('canonical_name')}) AS a FROM concept_reference)), w AS (SELECT doc_id, pair_id, ' ' || {_wf('output')} || ' ' AS w FROM sft_pairs WHERE doc_id IS NOT NULL), m AS (SELECT DISTINCT doc_id, pair_id, id FROM w JOIN al ON contains(w, ' ' || alias || ' ') WHERE length(alias) >= 2)
  SELECT doc_id, arg_max(id, {{'p': pair_id, 'l': length(id), 'i': id}}) AS concept FROM m GROUP BY 1""")
 def rte6(spark, sf):
@@ -140,27 +122,6 @@ def rte6(spark, sf):
     return M.active_concept(m, "doc_id", "pair_id")
 
 
-_ROUTE = f"CASE WHEN regexp_matches(lower(q), {D.q(U.BOOKS)}) THEN 'library_books' WHEN {_any(U.IDENTITY)} THEN 'identity' WHEN {_CHIT} THEN 'small_talk' WHEN pair_id IN (SELECT pair_id FROM m) THEN 'graph_strong' WHEN {_any(U.LEARNING)} THEN 'graph_soft' ELSE 'low_similarity_reject' END"
-
-
-@query("rte1_routes", f"""WITH al AS (SELECT DISTINCT id, {_wf('a')} AS alias FROM (SELECT canonical_name AS id, unnest({D.aliases('canonical_name')}) AS a FROM concept_reference)), w AS (SELECT pair_id, ' ' || {_wf('q')} || ' ' AS w FROM {_QS}), m AS (SELECT DISTINCT pair_id FROM w JOIN al ON contains(w, ' ' || alias || ' ') WHERE length(alias) >= 2) SELECT pair_id, {_ROUTE} AS route FROM {_QS}""")
-def rte1(spark, sf):
-    q = _questions(spark, sf)
-    return M.routes(q, B.mentions(q, _concepts(spark, sf), ["pair_id"], "q"), "pair_id", "q")
-
-
-@query("rnk2_expanded_questions", rf"""SELECT pair_id, q || CASE WHEN regexp_matches(lower(q), '\bagents?\b') OR contains(lower(q), 'retrieval') THEN ' | ' ELSE '' END || concat_ws(' ', CASE WHEN regexp_matches(lower(q), '\bagents?\b') THEN {D.q(M.EXPANSIONS[0][1])} END, CASE WHEN contains(lower(q), 'retrieval') THEN {D.q(M.EXPANSIONS[1][1])} END) AS question FROM {_QS}""")
-def rnk2(spark, sf):
-    return _questions(spark, sf).select("pair_id", M.expand(F.col("q")).alias("question"))
-
-
-@query("cit7_payloads", f"""SELECT DISTINCT doc_id, chunk_id, page_number, coalesce('p. ' || {_PAGE}, CASE WHEN page_number > 0 THEN 'PDF page ' || page_number END, '') AS page, '/pdfs/' || replace(doc_id, ' ', '%20') || CASE WHEN page_number > 0 THEN '#page=' || page_number ELSE '' END AS url,
- md5(CASE WHEN text_offset_start >= 0 AND text_offset_end > text_offset_start THEN text[1:(text_offset_end - text_offset_start)::bigint] ELSE text[1:200] END) AS span FROM chunks""")
-def cit7(spark, sf):
-    c = read(spark, sf, "chunks", *_K, "page_number", "page_label_map", "text", "text_offset_start", "text_offset_end")
-    return c.select(*_K, "page_number", V.page_display(F.col("page_label_map"), F.col("page_number")).alias("page"), V.page_url(F.col("doc_id"), F.col("page_number")).alias("url"), F.md5(M.span(F.col("text"), F.col("text_offset_start"), F.col("text_offset_end"))).alias("span")).distinct()
-
-
 @query("cit20_citation_labels", f"{_EV} SELECT id, ' [S1: ' || id || ' | ' || doc_id || CASE WHEN page_number > 0 THEN ', PDF page ' || page_number ELSE '' END || ']' AS label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY quality DESC, doc_id, page_number, chunk_id) AS rank FROM (SELECT *, {_Q} AS quality FROM ev)) WHERE rank = 1")
 def cit20(spark, sf):
     b = V.best_citations(_evidence(spark, sf), 1)
@@ -173,13 +134,6 @@ def cit15(spark, sf):
     return M.learning_paths(_n(spark, sf), _e(spark, sf))
 
 
-@query("lib10_related_by_token", r"WITH t AS (SELECT ref_id, canonical_name, unnest(list_distinct(string_split(lower(canonical_name), ' '))) AS w FROM concept_reference) SELECT a.canonical_name AS name, count(DISTINCT b.ref_id) AS n_related FROM t a JOIN t b ON a.w = b.w AND a.ref_id <> b.ref_id WHERE length(a.w) > 3 GROUP BY 1")
-def lib10(spark, sf):
-    t = read(spark, sf, "concept_reference", "ref_id", "canonical_name").select("ref_id", "canonical_name", F.explode(F.array_distinct(F.split(F.lower("canonical_name"), " "))).alias("w")).where("length(w) > 3")
-    j = t.select(F.col("ref_id").alias("a"), F.col("canonical_name").alias("name"), "w").join(t.select(F.col("ref_id").alias("b"), "w"), "w").where("a <> b")
-    return j.groupBy("name").agg(F.count_distinct("b").alias("n_related"))
-
-
 @query("lib3_resolved_documents")
 def lib3(spark, sf):
     q = read(spark, sf, "concept_reference", "ref_id", "canonical_name").where("ref_id % 100 = 0")  # the stated query set of a search
@@ -227,8 +181,3 @@ def ext4(spark, sf):
 @query("ext7_schema_ok", f"""SELECT pair_id, coalesce(CASE WHEN json_valid(output) AND json_type(output) = 'ARRAY' THEN len(list_filter(from_json(output, '["JSON"]'), lambda c: c->>'concept_name' IS NULL OR c->>'summary' IS NULL OR c->>'concept_type' IS NULL OR c->>'difficulty' IS NULL)) = 0 END, false) AS ok FROM sft_pairs""")
 def ext7(spark, sf):
     return M.schema_ok(read(spark, sf, "sft_pairs", "pair_id", "output"))
-
-
-@query("jon9_evidence_chain", f"WITH {MENTIONS} SELECT id, count(DISTINCT doc_id) AS n_documents, count(*) AS n_chunks FROM mentions GROUP BY 1")
-def jon9(spark, sf):
-    return _mentions(spark, sf).groupBy("id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks"))

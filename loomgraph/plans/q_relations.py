@@ -156,20 +156,7 @@ def ext3(spark, sf):
     return R.keyword_scores(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", _CLUSTERS)
 
 
-@query("ext1_tagged_documents", f"""WITH al AS (SELECT DISTINCT id, {_wf('a')} AS alias FROM (SELECT canonical_name AS id, unnest({D.aliases('canonical_name')}) AS a FROM concept_reference)), w AS (SELECT doc_id, ' ' || {_wf('text')} || ' ' AS w FROM documents) SELECT id, count(DISTINCT doc_id) AS n_documents FROM w JOIN al ON contains(w, ' ' || alias || ' ') WHERE length(alias) >= 2 GROUP BY 1""")
-def ext1(spark, sf):
-    m = R.mentions(read(spark, sf, "documents", "doc_id", "text"), _concepts(spark, sf), ["doc_id"])
-    return m.groupBy("id").agg(F.count(F.lit(1)).alias("n_documents"))
-
-
-@query("ext2_chunk_closure", """SELECT o.rec_id, pos, target FROM (SELECT rec_id, doc_id, chunk_id, generate_subscripts(prerequisites, 1) - 1 AS pos, unnest(prerequisites) AS target FROM okf_results) o JOIN (SELECT DISTINCT doc_id, chunk_id, concept_name FROM okf_results) c ON o.doc_id = c.doc_id AND o.chunk_id = c.chunk_id AND o.target = c.concept_name WHERE pos < 5""")
-def ext2(spark, sf):
-    o = read(spark, sf, "okf_results", "rec_id", *_K, "concept_name", "prerequisites")
-    p = o.select("rec_id", *_K, F.posexplode("prerequisites").alias("pos", "target")).where("pos < 5")
-    return p.join(o.select(*_K, F.col("concept_name").alias("target")).distinct(), [*_K, "target"], "left_semi").select("rec_id", "pos", "target")
-
-
-@query("ext2_closed_references", f"""WITH {_REFS}, f AS (SELECT rec_id, doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY rec_id) AS r FROM okf_results WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE r <= {R.CHUNK_CONCEPTS})
+@query("ext2_chunk_closure", f"""WITH {_REFS}, f AS (SELECT rec_id, doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY rec_id) AS r FROM okf_results WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE r <= {R.CHUNK_CONCEPTS})
  SELECT rec_id, kind, pos, target FROM refs JOIN f USING (rec_id) JOIN (SELECT DISTINCT doc_id, chunk_id, concept_name FROM okf_results) c ON f.doc_id = c.doc_id AND f.chunk_id = c.chunk_id AND refs.target = c.concept_name""")
 def ext2b(spark, sf):
     return R.closed_references(read(spark, sf, "okf_results", "rec_id", *_K, "concept_name", "prerequisites", "unlocks", "related_to"))

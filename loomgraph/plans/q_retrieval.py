@@ -142,25 +142,12 @@ def int2(spark, sf):
     return _lexical(spark, sf)
 
 
-@query("int3_blended_scores", f"WITH {_LEX} SELECT query_id, label, round(0.45 * score, 6) AS score FROM lx")
-def int3(spark, sf):
-    return _lexical(spark, sf).select("query_id", "label", K.blend(F.col("score"), F.lit(None).cast("double")).alias("score"))
-
-
 @query("int8_yes_no", r"""SELECT pair_id, CASE WHEN raw = '' THEN NULL WHEN f IN ('yes', 'y', 'true', 'in', 'in-scope', 'inscope') THEN true WHEN f IN ('no', 'n', 'false', 'out', 'out-of-scope', 'outofscope') THEN false WHEN starts_with(raw, 'yes') THEN true WHEN starts_with(raw, 'no') THEN false
  WHEN contains(raw, 'yes') AND NOT contains(raw, 'no') THEN true WHEN contains(raw, 'no') AND NOT contains(raw, 'yes') THEN false END AS answer FROM (SELECT pair_id, raw, regexp_extract(raw, '^([^\s,.!?;:]*)', 1) AS f FROM (SELECT pair_id, lower(trim(coalesce(output, ''))) AS raw FROM sft_pairs))""")
 def int8(spark, sf):
     return read(spark, sf, "sft_pairs", "pair_id", "output").select("pair_id", U.yes_or_no(F.col("output")).alias("answer"))
 
 
-@query("rnk4_ranked_concepts")
-def rnk4(spark, sf):
-    m = _mentions(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    c = _concepts(spark, sf).join(m, "id", "left").select("id", "name", F.lit("").alias("summary"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    q = read(spark, sf, "concept_reference", "ref_id", "canonical_name").where("ref_id % 100 = 0").select("ref_id", F.concat(F.lit("what is "), F.lower("canonical_name")))  # the stated query set of a search
-    return K.rank_concepts(q, c)
-
-
 _FOREIGN = f"WITH v AS (SELECT DISTINCT unnest(string_split_regex(lower(canonical_name), '[^a-z0-9]+')) AS w FROM concept_reference), t AS (SELECT DISTINCT pair_id, unnest(string_split_regex(lower(q), '[^a-z0-9]+')) AS w FROM {_QS}) SELECT w, count(*) AS n FROM t WHERE w <> '' AND w NOT IN (SELECT w FROM v) GROUP BY 1"
 
 

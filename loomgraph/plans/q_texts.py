@@ -45,16 +45,6 @@ def txt1(spark, sf):
     return _questions(spark, sf).select("pair_id", X.missing_topic(F.col("q")).alias("topic"))
 
 
-@query("int7_scope", f"SELECT pair_id, CASE WHEN {_CHIT} THEN 'chitchat' WHEN {_any(X.OFF_TOPIC)} THEN 'offtopic' WHEN {_any(X.DOMAIN)} THEN 'domain_terms' WHEN {_any(U.LEARNING)} THEN 'learning' ELSE 'unknown' END AS reason FROM {_QS}")
-def int7(spark, sf):
-    return _questions(spark, sf).select("pair_id", X.scope_reason(F.col("q")).alias("reason"))
-
-
-@query("trn20_distinct_concepts", """SELECT pair_id, count(*) AS n_concepts, count(DISTINCT lower(trim(c->>'concept_name'))) AS n_distinct FROM (SELECT pair_id, unnest(from_json(output, '["JSON"]')) AS c FROM sft_pairs WHERE coalesce(json_valid(output), false) AND json_type(output) = 'ARRAY') WHERE c->>'concept_name' IS NOT NULL GROUP BY 1""")
-def trn20(spark, sf):
-    return X.concepts_per_row(read(spark, sf, "sft_pairs", "pair_id", "output"))
-
-
 @query("lib14_chapter_answers", "SELECT doc_id, string_agg(section_title, '; ' ORDER BY page, section_title) AS listing FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, section_title) AS r FROM (SELECT doc_id, section_title, min(page_number) AS page FROM chunks WHERE trim(coalesce(section_title, '')) <> '' GROUP BY 1, 2)) WHERE r <= 40 GROUP BY 1")
 def lib14(spark, sf):
     return X.chapter_answers(read(spark, sf, "chunks", "doc_id", "section_title", "page_number"))

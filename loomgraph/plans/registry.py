@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_text", "q_records", "q_graph", "q_relations", "q_retrieval", "q_more", "q_extra", "q_texts")
+MODULES = ("q_text", "q_records", "q_graph", "q_relations", "q_retrieval", "q_more", "q_extra", "q_texts", "q_routing", "q_whole", "q_rows")
 
 
 def _modules():
