@@ -93,3 +93,20 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str,
     left = big.withColumn("__salt", F.pmod(F.xxhash64(F.col(salt_on)), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+HOT_SHARE = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, counts: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    """As salted_join, but only keys with at least one row of HOT_SHARE are split, so the rows of `small` for all other keys are not repeated.
+
+    `counts` (keys.., n) has the rows of `big` per key (or more), `rows` their sum; so at most HOT_SHARE keys are hot, and they are what is broadcast.
+    """
+    salts = max(8, -(-rows // SALT_ROWS))
+    hot = F.broadcast(counts.where(F.col("n") >= max(rows / HOT_SHARE, 2)).select(*keys, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(F.col(salt_on)), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    right = small.join(hot, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
