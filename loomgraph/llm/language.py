@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,26 +36,49 @@ class LanguageModel:
         for g in every:
             self.table[g] = tuple(math.log((counts[k].get(g, 0) + 0.5) / totals[k]) for k in self.languages)
         self.unseen = tuple(math.log(0.5 / totals[k]) for k in self.languages)
-        self._cache: dict[str, tuple[float, ...]] = {}
+        self._rows: dict[str, int] = {}
+        self._logs = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_cache"} | {"_cache": {}}
-
-    def word(self, w: str) -> tuple[float, ...]:
-        v = self._cache.get(w)
-        if v is None:
-            v = tuple(map(sum, zip(*(self.table.get(g, self.unseen) for g in grams(w)))))
-            if len(self._cache) < CACHE and len(w) <= 64:  # a cache only, the values are the same without it
-                self._cache[w] = v
+        return {k: v for k, v in self.__dict__.items() if k not in ("_rows", "_logs")} | {"_rows": {}, "_logs": None}
+
+    def word(self, w: str) -> np.ndarray:
+        return np.array([self.table.get(g, self.unseen) for g in grams(w)]).sum(axis=0)
+
+    def scores(self, counts: Counter) -> np.ndarray:
+        """The log probability of counted words in each language."""
+        if self._logs is None:
+            self._logs = np.zeros((1024, len(self.languages)))
+        rows = list(map(self._rows.get, counts))
+        if None in rows:
+            out = np.zeros(len(self.languages))
+            for w, n in counts.items():
+                out += n * self._row(w)
+            return out
+        return np.fromiter(counts.values(), dtype=float, count=len(rows)) @ self._logs[rows]
+
+    def _row(self, w: str) -> np.ndarray:
+        k = self._rows.get(w)
+        if k is not None:
+            return self._logs[k]
+        v = self.word(w)
+        if len(self._rows) < CACHE and len(w) <= 64:  # a cache only, the values are the same without it
+            k = self._rows[w] = len(self._rows)
+            if k >= len(self._logs):
+                self._logs = np.concatenate([self._logs, np.zeros_like(self._logs)])
+            self._logs[k] = v
         return v
 
     def of_words(self, words) -> str | None:
-        """The likeliest language of words in lower case; None where fewer than four words hold letters or none leads by a factor of e."""
-        known = [w for w in words if not w.isdigit()]
-        if len(known) < 4 or len(self.languages) < 2:
+        """The likeliest language of words in lower case (or of a Counter of them); None where fewer than four words hold letters or none leads by a
+        factor of e."""
+        counts = Counter(words)
+        for w in [w for w in counts if w.isdigit()]:
+            del counts[w]
+        if len(self.languages) < 2 or counts.total() < 4:
             return None
-        sums = [sum(x) for x in zip(*map(self.word, known))]
-        best, second = sorted(range(len(sums)), key=lambda k: -sums[k])[:2]
+        sums = self.scores(counts)
+        best, second = np.argsort(-sums, kind="stable")[:2]
         return self.languages[best] if sums[best] - sums[second] > 1 else None
 
     def of_text(self, text: str) -> str | None:

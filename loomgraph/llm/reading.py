@@ -20,17 +20,29 @@ LONG = 150
 MIN_WORDS = 4
 MAX_LEVELS = 1_000
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_ASCII = re.compile(r"[a-z]+(?:'[a-z]+)*")
 _BREAK = re.compile(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])")
-_CAPITAL = re.compile(r"(?<=[\w,;:’'\-)]\s)[A-Z][a-z]*\b")
+_CAPITALS = frozenset(w.capitalize() for w in COMMON)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)]*\s+")
 _I = {n: k for k, n in enumerate(NAMES)}
 
 
+def joined(text: str) -> str:
+    """A text with the words put together that line ends break."""
+    return _BREAK.sub("", text) if "-\n" in text else text
+
+
+def word_counts(text: str) -> Counter:
+    """The words of a text in lower case, with how often each occurs."""
+    low = joined(text).lower()
+    return Counter((_ASCII if low.isascii() else _WORDS).findall(low))
+
+
 def _count_words(batches):
     for batch in batches:
         c: Counter = Counter()
         for t in batch.column(0).to_pylist():
-            c.update(_WORDS.findall(_BREAK.sub("", t).lower()))
+            c.update(word_counts(t))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
 
@@ -67,12 +79,13 @@ def prose(text: str) -> bool:
 
 
 def sentence_length(text: str) -> int:
-    """Words of the sentence in which the middle word of the text stands, with its sentences in order of length; 0 where none can be told. A stretch that
-    holds several sentences without marks (function words with a capital inside it) or is too long for one tells nothing."""
+    """Words (divided by blanks) of the sentence in which the middle word of the text stands, with its sentences in order of length; 0 where none can be told. A
+    stretch that holds several sentences without marks (function words with a capital inside it) or is too long for one tells nothing."""
     lengths: Counter = Counter()
     for s in _SENTENCE.split(text):
-        n = len(_WORDS.findall(s))
-        if n and not (n > LONG or n > 8 and any(w.lower() in COMMON for w in _CAPITAL.findall(s))):
+        tokens = s.split()
+        n = len(tokens)
+        if n and not (n > LONG or n > 8 and not _CAPITALS.isdisjoint(tokens[1:])):
             lengths[n] += n
     half, have = sum(lengths.values()) / 2, 0
     for n in sorted(lengths):
@@ -89,12 +102,12 @@ class _Ranks(dict):
         return len(self) + 1
 
 
-def coverage_ranks(ranks: list[int], shares=SHARES) -> list[int]:
-    """For each share the size of the smallest frequency-ranked vocabulary that covers it, from the ranks of a document's tokens."""
-    count = sorted(Counter(ranks).items())
-    need = [math.ceil(s * len(ranks)) for s in shares]
+def coverage_ranks(counted: list[tuple[int, int]], shares=SHARES) -> list[int]:
+    """For each share the size of the smallest frequency-ranked vocabulary that covers it, from (rank, tokens) of a document's words."""
+    total = sum(n for _, n in counted)
+    need = [math.ceil(s * total) for s in shares]
     out, have, k = [0] * len(shares), 0, len(shares) - 1
-    for rank, n in count:
+    for rank, n in sorted(counted):
         have += n
         while k >= 0 and have >= need[k]:
             out[k] = rank
@@ -112,13 +125,12 @@ def _features(ranks, model):
             for k, t in enumerate(texts):
                 if lm is not None and not prose(t):
                     continue
-                t = _BREAK.sub("", t)
-                ws = _WORDS.findall(t.lower())
-                if len(ws) < MIN_WORDS or lm is not None and lm.of_words(ws) != HOME:
+                words = word_counts(t)
+                if words.total() < MIN_WORDS or lm is not None and lm.of_words(words) != HOME:
                     continue
                 at.append(k)
-                cover.append(coverage_ranks(list(map(get, ws))))
-                sentence.append(sentence_length(t))
+                cover.append(coverage_ranks([(get(w), n) for w, n in words.items()]))
+                sentence.append(sentence_length(joined(t)))
             cols = [pa.array([c[k] for c in cover], pa.int64()) for k in range(len(SHARES))]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *cols, pa.array(sentence, pa.int64())], names=["id", *[f"c{k}" for k in range(len(SHARES))], "sentence"])
 

@@ -43,6 +43,7 @@ _NUMBERED = re.compile(r"\s*\d+(?:\.\d+)+\.?\s")
 _LABEL = re.compile(r"\s*(?:keywords?|topics?|see also|index|terms?|tags?|contents?|glossary|related|concepts?|references?|further reading|subjects?)\s*:", re.I)
 _GAP = re.compile(r"\S(?:\t+| {3,})(?=\S)")
 _CELLS = re.compile(r"\s[|&]\s|\t")
+_SYMBOLS = re.compile(r"[^\w\s.,;:'’\"“”()?!-]")
 _TIGHT = re.compile(r"[^\s,],(?=[^\s,])")
 _RUN_TOGETHER = re.compile(r"[^\W\d_]{25,}")
 _LISTING = re.compile(r"\s/\s|[;,]\s|\s[·•|]\s")
@@ -105,6 +106,7 @@ class _Packed(dict):
                 v |= 1 << FIELD * k
         if flags & LONG:
             v |= len(tok) << FIELD * 10
+        v |= len(_SYMBOLS.findall(tok)) << FIELD * 11
         if len(self) < 300_000 and len(tok) <= 64:
             self[tok] = v
         return v
@@ -127,7 +129,6 @@ NAMES = (
     "lines", "ended", "items", "cells", "toc", "listings", "labels", "symbols", "starts", "plain_short", "foreign", "prose_tokens", "item_words",
 )
 _I = {n: k for k, n in enumerate(NAMES)}
-_SYMBOLS = re.compile(r"[^\w\s.,;:'’\"“”()?!-]")
 
 
 @dataclass
@@ -178,7 +179,7 @@ def add_line(sums: list[int], bins: list[int], line: str, model: LanguageModel |
     if not toks:
         return
     packed = sum(map(_COUNTS.__getitem__, toks))
-    letters, words, common, numbers, terms, damaged, singles, seps, nav, starts, longc = (packed >> FIELD * k & _MASK for k in range(11))
+    letters, words, common, numbers, terms, damaged, singles, seps, nav, starts, longc, symbols = (packed >> FIELD * k & _MASK for k in range(12))
     for b in set(map(_BIN.__getitem__, toks)):
         bins[b] += 1
     n = len(toks)
@@ -207,7 +208,7 @@ def add_line(sums: list[int], bins: list[int], line: str, model: LanguageModel |
     for k, v in (
         ("tokens", n), ("words", words), ("letters", letters), ("common", common), ("numbers", numbers), ("terminals", terms), ("damaged", damaged),
         ("singles", singles), ("long_chars", longc), ("nav", nav), ("chars", chars), ("lines", 1), ("ended", ended), ("items", item), ("cells", cells),
-        ("toc", toc), ("listings", listing), ("labels", label), ("symbols", len(_SYMBOLS.findall(line))), ("starts", starts),
+        ("toc", toc), ("listings", listing), ("labels", label), ("symbols", symbols), ("starts", starts),
         ("plain_short", 1 if not (item or cells or toc) and n <= 14 and not terms else 0),
         ("foreign", foreign), ("prose_tokens", n if not (item or cells or toc or listing) else 0), ("item_words", common if item else 0),
     ):

@@ -85,7 +85,7 @@ def test_soft_breaks_are_alike_in_chunks(text, k):
 
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=40))
 def test_coverage_ranks(ranks):
-    for share, got in zip(reading.SHARES, reading.coverage_ranks(ranks)):
+    for share, got in zip(reading.SHARES, reading.coverage_ranks([(r, 1) for r in ranks])):
         assert got == min(r for r in ranks if sum(x <= r for x in ranks) >= share * len(ranks) - 1e-9)
 
 
@@ -119,6 +119,7 @@ def test_normal_value(v, want):
 def test_name_cost():
     known = {"masking", "graph", "search", "voting"}
     assert canon_match.name_cost("grahp search", "graph search", known) == 1 and canon_match.name_cost("graph voting", "graph search", known) is None
+    assert canon_match.name_cost("abc.", "abc", set()) == 0 and canon_match.name_cost("abd", "abc", set()) is None and canon_match.name_cost("loar", "lora", set()) == 1
     assert canon_match.name_cost("kernel tasting", "kernel masking", set()) is None and canon_match.name_cost("elasticcontext", "elastic context", set()) == 0.05
 
 
