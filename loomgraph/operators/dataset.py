@@ -70,13 +70,33 @@ def pool_latest(rows: DataFrame) -> DataFrame:
 def balanced(rows: DataFrame, stratum: Column, quotas: dict[str, int], seed: str = "42") -> DataFrame:
     """TRN-7, TRN-8 and WIN-14: (pair_id, stratum): at most `quotas` rows of each stratum, in the order of a seeded hash; strata without a quota stay whole.
 
-    A quota is the feature here; ranks come from one window per stratum only over the rows below a hash bound that surely holds the quota.
+    Rows without a quota are never ranked. For the others a histogram of the hash (4096 rows per stratum) gives the bin in which the quota is
+    reached, and only rows up to that bin are ranked, so no window holds a whole stratum.
     """
-    q = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]) if quotas else F.create_map().cast("map<string,int>")
+    if not quotas:
+        return rows.select("pair_id", stratum.alias("stratum"))
+    q = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     h = F.md5(F.concat(F.lit(seed + ":"), F.col("pair_id").cast("string")))
     r = rows.select("pair_id", stratum.alias("stratum")).withColumn("h", h).withColumn("quota", F.try_element_at(q, F.col("stratum")))
-    w = Window.partitionBy("stratum").orderBy("h", "pair_id")
-    return r.withColumn("n", F.row_number().over(w)).where("quota is null or n <= quota").select("pair_id", "stratum")
+    free = r.where("quota is null").select("pair_id", "stratum")
+    r = r.where("quota is not null").withColumn("bin", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    seen = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 4096 rows at most
+    bins = r.groupBy("stratum", "quota", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.sum("n").over(seen))
+    last = bins.where(F.col("s") - F.col("n") < F.col("quota")).groupBy("stratum").agg(F.max("bin").alias("last"))
+    near = r.join(F.broadcast(last), "stratum").where("bin <= last")  # a row per quota
+    w = Window.partitionBy("stratum").orderBy("h", "pair_id")  # the quota and one bin more
+    return free.unionByName(near.withColumn("n", F.row_number().over(w)).where("n <= quota").select("pair_id", "stratum"))
+
+
+def first_of_each(rows: DataFrame, group: str, key: str, most: int, seed: str = "42") -> DataFrame:
+    """TRN-26: (group, key): of every group the `most` rows with the least seeded hashes, whatever groups there are; each task ranks within buckets of the hash
+    first, so a group that holds a third of all rows is never in one window."""
+    h = F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")))
+    r = rows.select(group, key, h.alias("h")).withColumn("b", F.substring("h", 32, 1))
+    inner = Window.partitionBy(group, "b").orderBy("h", key)
+    r = r.withColumn("n", F.row_number().over(inner)).where(F.col("n") <= most)
+    outer = Window.partitionBy(group).orderBy("h", key)  # 16 x `most` rows
+    return r.withColumn("n", F.row_number().over(outer)).where(F.col("n") <= most).select(group, key)
 
 
 def oversample(rows: DataFrame, weight: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import canonical_name, concept_key
 from ..functions.text import difficulty_rank, slug
-from ..session import is_empty, materialize
+from ..session import discard, hot_join, is_empty, materialize
 from .filters import references
 
 SUMMARY_CHARS = 500
@@ -104,17 +104,21 @@ def chains(arcs: DataFrame, max_hops: int = 3) -> DataFrame:
 
 def connected_components(e: DataFrame) -> DataFrame:
     """TRV-4: (id, component): each vertex with the least id of its component; labels spread and are followed two steps a round, every round a
-    written table."""
+    written table, of which only the last is kept. Hubs are split: a vertex's arcs meet its label in parts."""
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    label = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "id"), "cc")
+    counts = materialize(both.groupBy(F.col("b")).agg(F.count(F.lit(1)).alias("n")), "cc-degrees")
+    rows = both.count()
+    label = last = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "id"), "cc")
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("n"))
+        near = hot_join(both, label.select(F.col("id").alias("b"), "l"), ["b"], "a", counts, rows).groupBy(F.col("a").alias("id")).agg(F.min("l").alias("n"))
         new = label.join(near, "id").select("id", "l", F.least("l", "n").alias("m"))
         jump = label.select(F.col("id").alias("m"), F.col("l").alias("j"))
         new = materialize(new.join(jump, "m", "left").select("id", F.least("m", F.coalesce("j", "m")).alias("l"), (F.least("m", F.coalesce("j", "m")) != F.col("l")).alias("moved")), "cc")
-        label = new.select("id", "l")
+        discard(last)
+        label, last = new.select("id", "l"), new
         if is_empty(new.where("moved")):
+            discard(both, counts)
             return label.select("id", F.col("l").alias("component"))
 
 
@@ -124,39 +128,72 @@ def cyclic_core(arcs: DataFrame) -> DataFrame:
     n = cur.count()
     while n:
         heads, tails = cur.select(F.col("b").alias("a")).distinct(), cur.select(F.col("a").alias("b")).distinct()
-        cur = materialize(cur.join(heads, "a", "left_semi").join(tails, "b", "left_semi").select("a", "b"), "core")
+        last, cur = cur, materialize(cur.join(heads, "a", "left_semi").join(tails, "b", "left_semi").select("a", "b"), "core")
         m = cur.count()
+        discard(last)
         if m == n:
             break
         n = m
     return cur
 
 
+def strong_components(arcs: DataFrame) -> DataFrame:
+    """(id, scc): the strong component of every vertex of a cyclic core (a, b), by colouring: in each round the least id that reaches a vertex spreads
+    forward as its colour; inside a colour, what reaches the colour's own vertex backwards is one strong component and leaves; the rest goes on.
+
+    Every step is a join over arcs and every round a written table, so no component is ever held by one task.
+    """
+    left = materialize(arcs.toDF("a", "b").where("a <> b").distinct(), "scc-arcs")
+    out = None
+    while left.count():
+        colour = last = materialize(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")), "scc-colour")
+        while True:
+            got = left.join(colour.select(F.col("id").alias("a"), "c"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("m"))
+            new = materialize(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "scc-colour")
+            discard(last)
+            colour, last = new.select("id", "c"), new
+            if is_empty(new.where("moved")):
+                break
+        inside = materialize(left.join(colour.toDF("a", "ca"), "a").join(colour.toDF("b", "cb"), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c")), "scc-inside")
+        member = front = materialize(colour.where("id = c").select("id", "c"), "scc-member")
+        while not is_empty(front):
+            back = inside.join(front.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"), "c").distinct()
+            front = materialize(back.join(member, ["id", "c"], "left_anti"), "scc-front")
+            member = materialize(member.unionByName(front), "scc-member")
+        out = member if out is None else out.unionByName(member)
+        last = left
+        left = materialize(left.join(member.select(F.col("id").alias("a")), "a", "left_anti").join(member.select(F.col("id").alias("b")), "b", "left_anti"), "scc-arcs")
+        discard(last, inside)
+    return out.select("id", F.col("c").alias("scc")) if out is not None else left.select(F.col("a").alias("id"), F.col("b").alias("scc"))
+
+
 def break_cycles(arcs: DataFrame, levels: DataFrame) -> DataFrame:
-    """REL-12 and GRF-4: (a, b) of the arcs to drop so that no cycle is left: inside the cyclic core only.
+    """REL-12 and GRF-4: (a, b) of the arcs to drop so that no cycle is left: only arcs inside a strong component can close one.
 
     Arcs are taken in order of how well they fit (difficulty of b above a, then shorter names, then ids), and one that would close a cycle is dropped.
-    The order is a fold, so it runs per weak component of the core; what lies outside the core is never moved.
+    Arcs that go up in difficulty can't close a cycle among themselves, so they are taken without a search. The order is a fold, so it runs per
+    strong component; all else is done by joins. The fold's memory grows with the arcs of one strong component, about 200 bytes each.
     """
     import pandas as pd
 
     core = cyclic_core(arcs)
-    comp = connected_components(core.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    comp = strong_components(core)
     lv = levels.select("id", F.coalesce(difficulty_rank(F.col("difficulty")), F.lit(2)).alias("r"))
-    c = core.join(comp.select(F.col("id").alias("a"), "component"), "a").join(lv.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a", "left").join(lv.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b", "left")
+    c = core.join(comp.select(F.col("id").alias("a"), F.col("scc").alias("component")), "a").join(comp.select(F.col("id").alias("b"), F.col("scc").alias("other")), "b").where("component = other")
+    c = c.join(lv.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a", "left").join(lv.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b", "left")
     c = c.select("a", "b", "component", (F.coalesce("rb", F.lit(2)) - F.coalesce("ra", F.lit(2))).alias("gap"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         after: dict[str, set] = {}
         dropped = []
         for r in sorted(pdf.itertuples(), key=lambda r: (-r.gap, len(r.a), len(r.b), r.a, r.b)):
-            seen, todo = {r.b}, [r.b]
+            seen, todo = {r.b}, [r.b] if r.gap <= 0 else []
             while todo:
                 for x in after.get(todo.pop(), ()):
                     if x not in seen:
                         seen.add(x)
                         todo.append(x)
-            if r.a in seen:
+            if r.gap <= 0 and r.a in seen:
                 dropped.append((r.a, r.b))
             else:
                 after.setdefault(r.a, set()).add(r.b)

@@ -80,28 +80,32 @@ def canonical_map(names: DataFrame) -> DataFrame:
 def fuzzy_merges(names: DataFrame, threshold: float = 90.0) -> DataFrame:
     """CAN-6 and AGG-3, the fuzzy stage: (name, like, score): pairs of canonical names whose ratio reaches `threshold`, the shorter first.
 
-    Candidates share a rare trigram within the length band that the ratio allows; the ratio itself (2 x LCS over the lengths) is exact.
+    Prefix against prefix: with the bigrams of both names in one order by rarity, a pair within the ratio shares one among the first few of
+    each; names are joined by hash, pruned by length, and only survivors carry their text to the exact ratio (2 x LCS over the lengths).
     """
     @F.pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y) for x, y in zip(a, b)])
 
-    n = names.toDF("name").where("name is not null and length(name) > 2").distinct().withColumn("low", F.lower("name"))
+    n = names.toDF("name").where("name is not null and length(name) > 2").distinct().withColumn("low", F.lower("name")).withColumn("id", F.xxhash64("name"))
+    n = materialize(n, "fuzzy-names")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 1, F.lit(1))), lambda i: F.substr(F.col("low"), i, F.lit(2))))
-    g = n.withColumn("g", F.explode(grams))
+    g = n.select("id", F.length("low").alias("len"), F.explode(grams).alias("g"))
     freq = g.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    # at most (1 - t) x 2 / t x length edits, each of which breaks two bigrams: that many rarest bigrams and one more must meet
-    size = F.size(grams)
-    keep = F.least(size, (F.ceil(F.length("low") * (2 * (1 - (threshold - 0.5) / 100) / ((threshold - 0.5) / 100))) * 2 + 1).cast("int"))
-    rare = g.join(freq, "g").groupBy("name", "low").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o")).withColumn("grams", F.transform("o", lambda x: x["g"]))
-    pre = rare.join(n.select("name", keep.alias("keep")), "name").select("name", "low", F.explode(F.slice("grams", 1, F.col("keep"))).alias("g"))
-    full = n.select(F.col("name").alias("like"), F.col("low").alias("low2"), F.explode(grams).alias("g"))
     t = (threshold - 0.5) / 100
+    # at most (1 - t) x 2 / t x length edits, each of which breaks two bigrams: that many rarest bigrams and one more are enough on either side
+    keep = (F.ceil(F.col("len") * (2 * (1 - t) / t)) * 2 + 1).cast("int")
+    rare = g.join(freq, "g").groupBy("id", "len").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))  # a name's own bigrams
+    pre = rare.select("id", "len", F.explode(F.slice("o", 1, keep)).alias("x")).select("id", "len", "x.g")
     band = t / (2 - t)
-    pairs = pre.join(full, "g").where(
-        (F.struct(F.length("name"), "name") < F.struct(F.length("like"), "like")) & (F.length("low") >= F.lit(band) * F.length("low2")) & (F.length("low2") * F.lit(band) <= F.length("low"))
-    ).select("name", "low", "like", "low2").distinct()
-    return pairs.withColumn("score", score("low", "low2")).where(F.round("score") >= threshold).select("name", "like", F.round("score", 2).alias("score"))
+    x, y = pre.toDF("a", "la", "g"), pre.toDF("b", "lb", "g")
+    pairs = x.join(y, "g").where((F.col("a") != F.col("b")) & (F.col("la") <= F.col("lb")) & (F.col("la") >= F.lit(band) * F.col("lb"))).select("a", "b").distinct()
+    p = pairs.join(n.select(F.col("id").alias("a"), "name", "low"), "a").join(n.select(F.col("id").alias("b"), F.col("name").alias("like"), F.col("low").alias("low2")), "b")
+    p = p.where(F.struct(F.length("name"), "name") < F.struct(F.length("like"), "like"))
+    # scores cost much more than rows, so the pairs are spread over all tasks
+    spark = n.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return p.repartition(parts).withColumn("score", score("low", "low2")).where(F.round("score") >= threshold).select("name", "like", F.round("score", 2).alias("score"))
 
 
 def first_matches(pairs: DataFrame) -> DataFrame:

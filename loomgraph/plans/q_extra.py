@@ -10,13 +10,13 @@ from ..functions import text as T
 from ..operators import extra as X
 from ..operators import filters as L
 from ..operators import graph as G
-from ..operators import ranking as K
-from ..operators import relations as B
+
+from ..operators.chunking import CITATION, EMAIL
 from ..tables import read
 from . import duck as D
 from .q_graph import GRAPH, _e, _n
-from .q_relations import _K, _REFEDGES, MENTIONS, _concepts, _mentions, _refedges
-from .q_retrieval import _QS, _questions
+
+from .q_retrieval import _QS, _TEXT, _questions
 from .q_text import _REFS
 
 QUERIES: dict = {}
@@ -125,7 +125,7 @@ def trn16(spark, sf):
     return o.select("rec_id", X.near_words(F.col("source_passage"), F.col("concept_name")).alias("grounded"))
 
 
-@query("trn28_rebuilt_rows")
+@query("trn28_rebuilt_rows", f"SELECT pair_id, text, len(regexp_extract_all(text, {D.q(EMAIL)})) >= 2 OR len(regexp_extract_all(text, {D.q(CITATION)})) >= 12 AS empty FROM (SELECT pair_id, ({_TEXT})[1:1800] AS text FROM sft_pairs) WHERE length(text) >= 40")
 def trn28(spark, sf):
     return X.rebuilt_rows(read(spark, sf, "sft_pairs", "pair_id", "instruction"))
 

@@ -6,19 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions import queries as U
+
 from ..functions import text as T
 from ..operators import dataset as S
 from ..operators import evidence as V
 from ..operators import filters as L
-from ..operators import graph as G
+
 from ..operators import more as M
 from ..operators import relations as B
 from ..tables import read
 from . import duck as D
 from .q_graph import GRAPH, _e, _n
-from .q_relations import _EV, _K, _PAGE, _Q, MENTIONS, _concepts, _evidence, _mentions, _wf
-from .q_retrieval import _CHIT, _QS, _any, _questions
+from .q_relations import _EV, _K, _Q, _concepts, _evidence, _wf
+from .q_text import _ANNOTATED, _BIB, _KIND
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -172,7 +172,11 @@ def trn34(spark, sf):
     return n.select("n", ((F.length(s) < 3) | s.rlike(N.NUMERIC_NAME) | s.rlike(N.JUNK_NAME) | s.rlike(N.FORMULA_NAME)).alias("junk"))
 
 
-@query("ext4_extracted_records")
+_PROSE = _ANNOTATED.replace("FROM chunks)", "FROM (SELECT DISTINCT doc_id, chunk_id, text, section_title FROM chunks))")
+
+
+@query("ext4_extracted_records", f"""{_PROSE}, p AS (SELECT DISTINCT doc_id, chunk_id, text FROM d WHERE {_KIND.replace('coalesce(t,', 'coalesce(section_title,')} = 'prose' AND NOT {_BIB}), al AS (SELECT DISTINCT id, {_wf('a')} AS alias FROM (SELECT canonical_name AS id, unnest({D.aliases('canonical_name')}) AS a FROM concept_reference)),
+ m AS (SELECT DISTINCT doc_id, chunk_id, id FROM (SELECT doc_id, chunk_id, ' ' || {_wf('text')} || ' ' AS w FROM p) JOIN al ON contains(w, ' ' || alias || ' ') WHERE length(alias) >= 2) SELECT m.doc_id, m.chunk_id, r.canonical_name AS concept_name, r.concept_type, r.difficulty FROM m JOIN concept_reference r ON m.id = r.canonical_name""")
 def ext4(spark, sf):
     c = read(spark, sf, "chunks", *_K, "text", "section_title").distinct()
     return M.extract(c, _concepts(spark, sf, "concept_type", "difficulty"))

@@ -19,7 +19,7 @@ from ..streaming import jobs as J
 from ..tables import read
 from . import duck as D
 from .q_graph import GRAPH, _e, _n
-from .q_relations import _concepts, _mentions
+from .q_relations import _concepts
 from .q_text import _BIB, _ground
 
 QUERIES: dict = {}
@@ -250,10 +250,7 @@ _fill()
 
 @query("trn26_probe_tags", "SELECT tag, eval_id FROM (SELECT tag, eval_id, row_number() OVER (PARTITION BY tag ORDER BY md5('42:' || eval_id), eval_id) AS r FROM lib_qwen_ingestion_eval) WHERE r <= 8")
 def trn26(spark, sf):
-    e = read(spark, sf, "lib_qwen_ingestion_eval", F.col("eval_id").alias("pair_id"), "tag")
-    tags = ("math", "random", "paper", "empty", "lora", "table", "bibliography", "syllabus")
-    known = [r.tag for r in e.select("tag").distinct().limit(64).collect()]  # a handful of tags
-    return S.balanced(e, F.col("tag"), dict.fromkeys([*tags, *known], 8)).select(F.col("stratum").alias("tag"), F.col("pair_id").alias("eval_id"))
+    return S.first_of_each(read(spark, sf, "lib_qwen_ingestion_eval", "eval_id", "tag"), "tag", "eval_id", 8)
 
 
 @query("trn32_split_summary", r"SELECT split_name, count(*) AS n, count(DISTINCT doc_id) AS n_sources, round(avg(length(output)), 4) AS mean_chars, count(*) FILTER (regexp_matches(output, '^\s*\[\s*\]\s*$')) AS n_empty FROM sft_pairs GROUP BY 1")
@@ -349,7 +346,11 @@ def src14(spark, sf):
     return d.select("doc_id", X.download_reject(F.col("b"), F.length("b"), F.lit("txt"), F.lit("text/plain")).alias("reject"))
 
 
-@query("snk4_cytoscape")
+_EID = "'e:' || src || ':' || dst || ':' || edge_type"
+
+
+@query("snk4_cytoscape", f"""WITH {GRAPH} SELECT 'n:' || id AS key, json_merge_patch('{{}}'::json, to_json({{'data': {{'id': id, 'label': name, 'concept_type': concept_type, 'difficulty': difficulty}}}}))::varchar AS element FROM nodes
+ UNION ALL SELECT {_EID}, json_merge_patch('{{}}'::json, to_json({{'data': {{'id': {_EID}, 'source': src, 'target': dst, 'edge_type': edge_type, 'relation': relation}}}}))::varchar FROM edges""")
 def snk4(spark, sf):
     return X.cytoscape(_n(spark, sf), _e(spark, sf))
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.chunking import chunk_markdown, chunk_text
+from .office import office_pages
 
 TEXT_SUFFIXES = ("md", "markdown", "txt", "text")
-ALL_SUFFIXES = (*TEXT_SUFFIXES, "pdf", "docx")
+ALL_SUFFIXES = (*TEXT_SUFFIXES, "pdf", "docx", "doc")
 MIN_BYTES = 10_000
 # The first bytes of the formats that can be downloaded.
 SIGNATURES = {"pdf": "%PDF", "docx": "PK\u0003\u0004", "zip": "PK\u0003\u0004"}
@@ -30,13 +31,20 @@ def scan(spark: SparkSession, root: str, suffixes: tuple = ALL_SUFFIXES) -> Data
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """SRC-2, SRC-4 and SRC-5: chunks of text and Markdown files, each by its own chunker: (doc_id, chunk_id, section_title, text, doc_hash)."""
-    t = files.withColumn("text", F.decode("content", "UTF-8"))
-    md = chunk_markdown(t.where(F.col("suffix").isin("md", "markdown")), "doc_id", "text")
+    """SRC-2..6 and CHK-4: chunks of every file by the chunker of its suffix: (doc_id, chunk_id, section_title, text, doc_hash). Markdown and DOCX by sections, PDF
+    page by page, everything else as text; a `.doc` file stops the run, as it can't be read."""
+    t = files.where(~F.col("suffix").isin("docx", "pdf", "doc")).withColumn("text", F.decode("content", "UTF-8"))
+    pages = office_pages(files).where("text is not null").join(files.select("doc_id", "suffix"), "doc_id")
+    sections = t.where(F.col("suffix").isin("md", "markdown")).select("doc_id", "text").unionByName(pages.where("suffix = 'docx'").select("doc_id", "text"))
+    md = chunk_markdown(sections, "doc_id", "text")
     md = md.select("doc_id", F.format_string("chunk_%03d_%03d", F.col("part_no"), F.col("slice_no")).alias("chunk_id"), "section_title", "text")
-    tx = chunk_text(t.where(F.col("suffix").isin("txt", "text")), "doc_id", "text")
+    tx = chunk_text(t.where(~F.col("suffix").isin("md", "markdown")), "doc_id", "text")
     tx = tx.select("doc_id", F.format_string("chunk_%03d", F.col("chunk_no")).alias("chunk_id"), F.lit("Section").alias("section_title"), "text")
-    return md.unionByName(tx).join(files.select("doc_id", "doc_hash"), "doc_id")
+    pdf = chunk_text(pages.where("suffix = 'pdf'").select(F.struct("doc_id", "page_number").alias("p"), "text"), "p", "text")
+    pdf = pdf.select("p.doc_id", F.format_string("page_%04d_%03d", F.col("p.page_number"), F.col("chunk_no")).alias("chunk_id"), F.concat(F.lit("Page "), F.col("p.page_number").cast("string")).alias("section_title"), "text")
+    none = F.lit(None).cast("string")
+    doc = files.where("suffix = 'doc'").select("doc_id", none.alias("chunk_id"), none.alias("section_title"), F.raise_error(F.concat(F.lit("a .doc file can't be read: "), "doc_id")).cast("string").alias("text"))
+    return md.unionByName(tx).unionByName(pdf).unionByName(doc).join(files.select("doc_id", "doc_hash"), "doc_id")
 
 
 def download_reject(content: Column, n_bytes: Column, suffix: Column, content_type: Column) -> Column:
