@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join, salts_for
+from .common import hot_join, materialize, salted_join, salts_for
 from .words import osa_distance
 
 THRESHOLD = 0.2
@@ -195,28 +195,31 @@ def match_values(values: DataFrame, reference: DataFrame, ref_id: str, name: str
     rarity = forms.select(F.explode("toks").alias("tok")).unionByName(s.select(F.explode("toks").alias("tok"))).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     rarity = materialize(rarity, "rarity")
 
-    def prefixes(side: DataFrame, out: str, *more: str) -> DataFrame:
-        ranked = side.select("form", *more, F.explode("toks").alias("tok")).join(rarity, "tok")
-        ranked = ranked.groupBy("form", *more).agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("o"))  # a form's own trigrams
+    def prefixes(side: DataFrame, out: str) -> DataFrame:
+        ranked = side.select(F.xxhash64("form").alias(out), F.explode("toks").alias("tok")).join(rarity, "tok")
+        ranked = ranked.groupBy(out).agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("o"))  # a form's own trigrams
         n = F.size("o")
         keep = n - F.ceil(F.lit(threshold) * n).cast("int") + 1
         first = F.transform(F.slice("o", 1, keep), lambda x: x["tok"])
-        return ranked.select(F.col("form").alias(out), *more, n.alias(f"n_{out}"), F.posexplode(first).alias(f"i_{out}", "tok"))
+        return ranked.select(out, n.alias(f"n_{out}"), F.posexplode(first).alias(f"i_{out}", "tok"))
 
-    pv, ps = prefixes(forms, "v"), prefixes(s, "s", "ref_id")
+    # forms are known by a 64-bit hash here (two of n share one with a chance of n^2 / 2^65), what is verified are the forms themselves
+    pv, ps = prefixes(forms, "v"), prefixes(s, "s")
     need = F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n_v") + F.col("n_s")))
     # a trigram that many values hold is split, the reference's side is repeated
-    pairs = salted_join(pv, ps, ["tok"], "v", salts_for(v)).where(
+    pairs = hot_join(pv, ps, ["tok"], "v", rarity.select("tok", F.col("f").alias("n")), rarity.agg(F.sum("f")).first()[0] or 0).where(
         (F.col("n_s") >= F.lit(threshold) * F.col("n_v")) & (F.col("n_v") >= F.lit(threshold) * F.col("n_s"))
         & (F.least(F.col("n_v") - F.col("i_v"), F.col("n_s") - F.col("i_s")) + F.least("i_v", "i_s") >= need)
     )
-    pairs = pairs.select(F.col("v").alias("form"), "s", "ref_id").distinct()
+    pairs = pairs.select("v", "s").distinct()
 
     names = prepared.join(reference.select(F.col(name).alias("raw")).distinct(), "raw", "left_semi")
     listed = names.select(F.explode(F.split("form", " ")).alias("w")).distinct()
     spelled = forms.select("form", F.explode(F.split("form", " ")).alias("x")).withColumn("w", F.rtrim(F.col("x"), F.lit(".")))
     known = spelled.join(listed, "w").groupBy("form").agg(F.collect_set("w").alias("known"))  # at most a form's own words
-    sure = pairs.join(known, "form", "left").select("form", "s", "ref_id", "known").mapInArrow(_confirm(threshold), "form string, ref_id bigint, share double, cost double")
+    texts = forms.select("form").join(known, "form", "left").select(F.xxhash64("form").alias("v"), "form", "known")
+    sure = pairs.join(s.select(F.xxhash64("form").alias("s"), F.col("form").alias("name"), "ref_id"), "s").join(texts, "v")
+    sure = sure.select("form", "name", "ref_id", "known").mapInArrow(_confirm(threshold), "form string, ref_id bigint, share double, cost double")
     # the most similar entry is kept, then the one with the cheapest words, then the smallest id
     best = sure.groupBy("form").agg(F.max_by("ref_id", F.struct("share", -F.col("cost"), -F.col("ref_id"))).alias("ref_id"))
     return v.select("raw", "form").join(best, "form", "left").select("raw", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))

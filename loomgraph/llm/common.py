@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, salted_join, salts_for
+from ..session import hot_join, materialize, salted_join, salts_for
 
 # Ligatures that typesetting puts in place of letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -92,6 +92,6 @@ def running_offset(df: DataFrame, classes: list[str], order: list[str], weight:
 
 
 __all__ = [
-    "alnum", "chunk_number", "chunk_source", "fold_ligatures", "materialize", "running_offset", "salted_join", "salts_for",
+    "alnum", "chunk_number", "chunk_source", "fold_ligatures", "hot_join", "materialize", "running_offset", "salted_join", "salts_for",
     "source_category", "source_name", "source_path", "unit_hash",
 ]
