@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join, salts_for
+from .common import hot_join, materialize, salted_join, salts_for
 from .words import banded_distance, normal_words, passage_of
 
 SHARE = 0.14
@@ -143,20 +143,20 @@ def find_overlaps(pairs: DataFrame, id_col: str, text_col: str, split_col: str,
     src = pairs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.trim(F.col(split_col))).alias("split"), F.col(doc_col).cast("string").alias("doc"), F.col(text_col).alias("text"))
     src = src.where("id is not null and text is not null and split is not null")
     rows = src.mapInArrow(_normal, "id bigint, split string, doc string, text string").where("text <> ''")
-    rows = materialize(rows.withColumn("key", F.md5("text")).withColumn("train", F.col("split") == train), "passages")
-    classes = rows.groupBy("key").agg(F.min("id").alias("cls"), F.first("text").alias("text"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"))
+    rows = materialize(rows.withColumn("key", F.unhex(F.md5("text"))).withColumn("train", F.col("split") == train), "passages")
+    classes = rows.groupBy("key").agg(F.min("id").alias("cls"), F.first("text").alias("text"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
-    members = salted_join(rows.select("id", "split", "doc", "train", "key"), classes.select("key", "cls"), ["key"], "id", salts_for(rows)).drop("key")
+    members = hot_join(rows.select("id", "split", "doc", "train", "key"), classes.select("key", "cls"), ["key"], "id", classes.select("key", "n"), rows.count()).drop("key")
 
     evals = classes.where("e").select("cls", "text")
     trains = classes.where("t").select("cls", "text")
     segs = materialize(evals.mapInArrow(_segments(share), "e bigint, h bigint, at bigint, n bigint, k bigint"), "segments")
     wins = trains.mapInArrow(_stretches(share), "t bigint, h bigint, pos bigint, m bigint")
     hits = materialize(wins.join(segs.select("h").distinct(), "h", "left_semi"), "hits")
-    freq = hits.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    freq = materialize(hits.groupBy("h").agg(F.count(F.lit(1)).alias("f")), "frequencies")
     rare = Window.partitionBy("e").orderBy(F.coalesce("f", F.lit(0)), "at")
     chosen = segs.join(freq, "h", "left").withColumn("__r", F.row_number().over(rare)).withColumn("need", F.least(F.count(F.lit(1)).over(Window.partitionBy("e")) - F.col("k"), F.lit(SPARE))).where(f"__r <= k + {SPARE} and f is not null")
-    cand = salted_join(hits, chosen.drop("f", "__r"), ["h"], "t", salts_for(hits)).where("abs(pos - at) <= k and abs(n - m) <= k and e <> t")
+    cand = hot_join(hits, chosen.drop("f", "__r"), ["h"], "t", freq.select("h", F.col("f").alias("n")), hits.count()).where("abs(pos - at) <= k and abs(n - m) <= k and e <> t")
     cand = cand.groupBy("e", "t").agg(F.min("need").alias("need"), F.count_distinct("at").alias("c")).where("c >= need").select("e", "t")
     texts = classes.select("cls", "text")
     both = cand.join(texts.select(F.col("cls").alias("e"), F.col("text").alias("a")), "e").join(texts.select(F.col("cls").alias("t"), F.col("text").alias("b")), "t")
