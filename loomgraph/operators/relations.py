@@ -12,7 +12,6 @@ from .filters import references
 from .records import resolve_names
 
 MAX_ALIAS_WORDS = 6
-FIRST_BITS = 4096
 CHUNK_CONCEPTS = 5
 # Relation labels that mean unlocking; words between two concepts that mean unlocking or requiring.
 UNLOCK_LABELS = ("enables", "unlocks", "leads_to", "leads to", "allows", "prerequisite_for", "pre-requisite", "extends")
@@ -35,26 +34,22 @@ def mentions(chunks: DataFrame, concepts: DataFrame, key: list[str], text: str =
     """JON-5: (key.., id): chunks that name a concept by one of its aliases, as whole words.
 
     A nested loop over chunks and aliases would grow with both: here the runs of words of a chunk, of just the lengths that aliases have, meet the aliases in
-    an equi-join. Only runs that begin with some alias' first word are made (a Bloom filter of constant size, by hashes, says which), so
-    most places of a text give none.
+    an equi-join, however long an alias is.
     """
     al = materialize(alias_table(concepts).withColumn("n", F.size(F.split("alias", " "))), "aliases")
-    first = F.pmod(F.xxhash64(F.split_part("alias", F.lit(" "), F.lit(1))), F.lit(FIRST_BITS))
-    bits = [r.n for r in al.select("n").distinct().orderBy("n").collect()]  # the different lengths of aliases
+    lengths = sorted(r.n for r in al.select("n").distinct().collect())  # the different lengths of aliases
     c = chunks.select(*key, word_form(F.col(text)).alias("w")).where("w <> ''").withColumn("w", F.split("w", " "))
-    if not bits:
-        return c.select(*key, F.lit(None).cast("string").alias("id")).limit(0)
-    # one row with FIRST_BITS flags
-    firsts = al.select(first.alias("x")).agg(F.collect_set("x").alias("xs")).select(F.transform(F.sequence(F.lit(0), F.lit(FIRST_BITS - 1)), lambda k: F.array_contains("xs", k.cast("bigint"))).alias("flags"))
     size = F.size("w")
-    at = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("flags", (F.pmod(F.xxhash64(F.element_at("w", i)), F.lit(FIRST_BITS)) + 1).cast("int")))
-    places = c.crossJoin(F.broadcast(firsts)).select(*key, "w", at.alias("at")).where(F.size("at") > 0)
 
-    def runs(n: int) -> Column:
-        return F.transform(F.filter("at", lambda i: i + n - 1 <= size), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    def of_length(n: int) -> Column:
+        if n == 1:
+            return F.col("w")
+        starts = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
+        return F.when(size >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in bits])))
-    return places.select(*key, F.explode(every).alias("alias")).join(al.select("alias", "id"), "alias").select(*key, "id").distinct()
+    joined = [of_length(n) for n in lengths]
+    runs = F.concat(*joined) if joined else F.array().cast("array<string>")
+    return c.select(*key, F.explode(runs).alias("alias")).join(al.select("alias", "id"), "alias").select(*key, "id").distinct()
 
 
 def co_mentions(m: DataFrame, key: list[str]) -> DataFrame:
