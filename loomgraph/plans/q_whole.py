@@ -118,7 +118,7 @@ def cit21(spark, sf):
 
 @query("trv3_path_sections")
 def trv3(spark, sf):
-    return A.path_section(G.chains(G.learn_arcs(_refedges(spark, sf))))
+    return A.path_section(G.first_chains(G.learn_arcs(_refedges(spark, sf))))
 
 
 _NM = "SELECT c.canonical_name AS id, c.canonical_name AS label, c.aliases FROM concept_reference c"

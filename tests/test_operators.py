@@ -378,6 +378,20 @@ def test_registered_chains_have_three_hops(spark, monkeypatch):
     assert {x.path for x in q_graph.QUERIES["trv2_chains_three_hops"](spark, "").collect()} == {"alpha>beta>gamma>delta", "beta>gamma>delta>kappa", "gamma>delta>kappa", "delta>kappa"}
 
 
+@pytest.mark.parametrize("n, m, seed", [(7, 9, 1), (8, 20, 2), (12, 60, 3), (12, 130, 4)])
+def test_path_sections_need_few_chains(spark, n, m, seed):
+    import random
+
+    from loomgraph.operators import answers
+
+    rng = random.Random(seed)
+    name = lambda i: ("a", "a b", "a>b", "a-", "ab", "b", "B", "é", "c d", "c", "z", "y")[i]
+    arcs = spark.createDataFrame([(name(rng.randrange(n)), name(rng.randrange(n))) for _ in range(m)], "a string, b string")
+    few, all_ = graph.first_chains(arcs), graph.chains(arcs)
+    assert {tuple(r) for r in answers.path_section(few).collect()} == {tuple(r) for r in answers.path_section(all_).collect()}
+    assert few.count() <= all_.count() and (m < 100 or few.count() < all_.count() / 2)
+
+
 def test_closed_references_have_all_kinds_and_positions(spark):
     rows = [dict(concept_name="A", prerequisites=["v", "w", "x", "y", "z", "B"], unlocks=["B", "G"], related_to=[("C", "uses"), ("x", "uses")])]
     rows += [dict(concept_name=n) for n in "BCDE"] + [dict(concept_name="F", unlocks=["A"]), dict(concept_name="G", unlocks=["A"], chunk_id="e")]
