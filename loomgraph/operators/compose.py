@@ -46,6 +46,30 @@ def clean_and_canonicalize(records: DataFrame, threshold: float = 90.0) -> tuple
 
     Empty summaries are filled by the merge: the one row of a name has the longest summary. References stay rows; their order is that of records and positions.
     """
+    concepts, mapping, n, refs, at = _canonical_concepts(records, threshold)
+    owner = n.select("rec_id", F.col("key").alias("name_key")).join(concepts.select("name_key", "concept_name", F.col("rec_id").alias("owner")), "name_key")
+    refs = R.apply_map(refs.join(owner, "rec_id").select(F.col("owner").alias("rec_id"), "concept_name", "kind", F.col("at").alias("pos"), "target", "relation"), mapping)
+    refs = L.pruned_references(refs).join(concepts.select("rec_id", "concept_name", "difficulty"), "rec_id")
+    refs = refs.where((L.unresolved_verdict(F.col("target"), F.col("concept_name")) == "kept") & valid_name(F.col("target")))
+    refs = materialize(refs.join(at.toDF("kind", "pos", "source"), ["kind", "pos"]), "references")
+
+    a, b = F.lower("target"), F.lower("concept_name")
+    arcs = refs.where("kind = 'prereq'").select(a.alias("a"), b.alias("b")).unionByName(refs.where("kind = 'unlock'").select(b.alias("a"), a.alias("b"))).where("a <> b").distinct()
+    levels = concepts.groupBy(F.lower("concept_name").alias("id")).agg(F.max_by(F.coalesce("difficulty", F.lit("intermediate")), "rec_id").alias("difficulty"))
+    gone = materialize(break_cycles(arcs, levels), "cycles")
+    void = gone.select(F.lit("prereq").alias("kind"), F.col("a").alias("t"), F.col("b").alias("o")).unionByName(gone.select(F.lit("unlock").alias("kind"), F.col("b").alias("t"), F.col("a").alias("o")))
+    refs = refs.withColumns({"t": a, "o": b}).join(void, ["kind", "t", "o"], "left_anti").join(levels.toDF("t", "level"), "t", "left")
+    inverted = (F.col("kind") == "prereq") & L.inverted_prerequisite(F.col("concept_name"), F.col("target"), F.coalesce("difficulty", F.lit("intermediate")), F.col("level"))
+    return concepts, refs.where(~inverted).select("concept_name", "kind", "relation", "target", "source")
+
+
+def clean_concepts(records: DataFrame, threshold: float = 90.0) -> DataFrame:
+    """CMP-2: the concepts alone; no step on references after the merge changes them, so those steps don't run."""
+    return _canonical_concepts(records, threshold)[0]
+
+
+def _canonical_concepts(records: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(concepts, canonical map, records with their key, references, origins of references) after the steps of CMP-2 up to the merge."""
     p = F.col("source_passage")
     r = records.where(valid_name(F.col("concept_name")) & ~L.is_bibliography(F.col("section_title")) & (L.scope_verdict(F.col("concept_name"), p) == "kept"))
     r = materialize(r.where(L.grounding_verdict(F.col("concept_name"), F.col("summary"), p).isin("kept", "rescued")), "clean")
@@ -71,18 +95,4 @@ def clean_and_canonicalize(records: DataFrame, threshold: float = 90.0) -> tuple
         F.min_by(F.struct("concept_name", "concept_type", "difficulty"), "rec_id").alias("r"), F.min("rec_id").alias("rec_id"), F.count_distinct(observed).alias("n_records"),
         _longest(s).alias("summary"), _sources().alias("source_count"),
     ).select("name_key", "r.*", "rec_id", "n_records", "summary", "source_count"), "concepts")
-
-    owner = n.select("rec_id", key.alias("name_key")).join(concepts.select("name_key", "concept_name", F.col("rec_id").alias("owner")), "name_key")
-    refs = R.apply_map(refs.join(owner, "rec_id").select(F.col("owner").alias("rec_id"), "concept_name", "kind", F.col("at").alias("pos"), "target", "relation"), mapping)
-    refs = L.pruned_references(refs).join(concepts.select("rec_id", "concept_name", "difficulty"), "rec_id")
-    refs = refs.where((L.unresolved_verdict(F.col("target"), F.col("concept_name")) == "kept") & valid_name(F.col("target")))
-    refs = materialize(refs.join(at.toDF("kind", "pos", "source"), ["kind", "pos"]), "references")
-
-    a, b = F.lower("target"), F.lower("concept_name")
-    arcs = refs.where("kind = 'prereq'").select(a.alias("a"), b.alias("b")).unionByName(refs.where("kind = 'unlock'").select(b.alias("a"), a.alias("b"))).where("a <> b").distinct()
-    levels = concepts.groupBy(F.lower("concept_name").alias("id")).agg(F.max_by(F.coalesce("difficulty", F.lit("intermediate")), "rec_id").alias("difficulty"))
-    gone = materialize(break_cycles(arcs, levels), "cycles")
-    void = gone.select(F.lit("prereq").alias("kind"), F.col("a").alias("t"), F.col("b").alias("o")).unionByName(gone.select(F.lit("unlock").alias("kind"), F.col("b").alias("t"), F.col("a").alias("o")))
-    refs = refs.withColumns({"t": a, "o": b}).join(void, ["kind", "t", "o"], "left_anti").join(levels.toDF("t", "level"), "t", "left")
-    inverted = (F.col("kind") == "prereq") & L.inverted_prerequisite(F.col("concept_name"), F.col("target"), F.coalesce("difficulty", F.lit("intermediate")), F.col("level"))
-    return concepts, refs.where(~inverted).select("concept_name", "kind", "relation", "target", "source")
+    return concepts, mapping, n, refs, at

@@ -438,3 +438,12 @@ def test_clean_and_canonicalize_runs_all_steps(spark):
     assert got == {"Neural Network": (1, 2, "the longer summary"), "Language Model": (3, 1, ""), "Tensor Algebra": (4, 1, "s"), "Gradient Flow": (5, 1, "s")}
     # out: the self reference, the number, the unlock that closes a cycle, the prerequisite two levels harder; targets nobody extracted stay
     assert {tuple(x) for x in refs.collect()} == {("Neural Network", "prereq", "requires", "Tensor Algebra", "d:c"), ("Neural Network", "related", "extends", "Language Model", "d:c"), ("Neural Network", "related", "uses", "Elsewhere Known", "d:c")}
+
+
+def test_concepts_alone_break_no_cycles(spark, monkeypatch):
+    from loomgraph.operators import compose
+
+    r = recs(spark, [dict(concept_name="Neural Network", unlocks=["Tensor Algebra"]), dict(concept_name="Tensor Algebra", unlocks=["Neural Networks"])]).withColumn("source_passage", F.lit("neural network and tensor algebra"))
+    want = {tuple(x) for x in compose.clean_and_canonicalize(r)[0].collect()}
+    monkeypatch.setattr(compose, "break_cycles", lambda *_: pytest.fail("references are cleaned for the concepts"))
+    assert {tuple(x) for x in compose.clean_concepts(r).collect()} == want and len(want) == 2
