@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType
 from ..functions.fuzzy import token_set_ratio
 from ..functions.names import concept_key, valid_name
 from ..functions.text import let, strip, tokens
+from ..session import discard, materialize
 from . import filters as L
 from . import graph as G
 from .records import identical_survivors
@@ -140,10 +141,14 @@ def cleanse_udf(text: pd.Series, topics: pd.Series) -> pd.Series:
 def build(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """CMP-3: concepts, edges without those that close cycles, and the edges dropped: clean records, graph, cycle break."""
     ok = records.where(valid_name(F.col("concept_name")) & (L.grounding_verdict(F.col("concept_name"), F.col("summary"), F.col("source_passage")).isin("kept", "rescued")))
-    first = identical_survivors(ok).select("rec_id")
-    ok = ok.join(first, "rec_id", "left_semi")
-    n, e = G.nodes(ok), G.edges(ok)
-    drop = G.break_cycles(G.learn_arcs(e).select("before", "after"), n)
+    # the verdicts cost far more than the rows, and graph and cycle break read them again and again
+    grounded = materialize(ok.drop("source_passage"), "grounded")
+    first = identical_survivors(grounded).select("rec_id")
+    ok = materialize(grounded.join(first, "rec_id", "left_semi").drop("section_title", "page_number"), "clean")
+    discard(grounded)
+    n, e = materialize(G.nodes(ok), "nodes"), materialize(G.edges(ok), "edges")
+    discard(ok)
+    drop = materialize(G.break_cycles(G.learn_arcs(e).select("before", "after"), n), "dropped")
     bad = drop.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit("REQUIRES").alias("edge_type")).unionByName(drop.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("UNLOCKS").alias("edge_type")))
     return n, e.join(bad, ["src", "dst", "edge_type"], "left_anti"), drop
 

@@ -478,3 +478,19 @@ def test_record_names_read_each_record_once(spark):
     df = spark.createDataFrame([(1, "A", ["B", None], None, [("C", "uses")]), (2, None, None, ["B"], None)], "rec_id int, concept_name string, prerequisites array<string>, unlocks array<string>, related_to array<struct<concept string, relation string>>")
     names = records.record_names(df)
     assert sorted(str(r.name) for r in names.collect()) == ["A", "B", "C", "None"] and "Union" not in names._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_built_graph_judges_each_record_once(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from loomgraph.operators import extra
+
+    path = str(tmp_path / "r")
+    text = "Linear algebra studies vectors and matrices and the maps between them."
+    rows = [(1, "Linear Algebra", text, ["Matrix Theory"], ["Deep Learning"], text, "d", "c1", "s", 1), (2, "Matrix Theory", "Matrix theory studies matrices.", ["Linear Algebra"], None, "Matrix theory studies matrices.", "d", "c2", "s", 2)]
+    df = spark.createDataFrame(rows, "rec_id long, concept_name string, summary string, prerequisites array<string>, unlocks array<string>, source_passage string, doc_id string, chunk_id string, section_title string, page_number long")
+    df = df.withColumns({"concept_type": F.lit("definition"), "difficulty": F.lit("intermediate"), "related_to": F.lit(None).cast("array<struct<concept string, relation string>>"), "relation_provenance": F.lit(None).cast(T.MapType(T.StringType(), T.StringType()))})
+    df.write.parquet(path)
+    n, e, dropped = extra.build(spark.read.parquet(path))
+    assert n.count() == 2 and dropped.count() == 1 and e.count() == 1
+    assert not any(path in t._jdf.queryExecution().optimizedPlan().toString() or any(path in f for f in t.inputFiles()) for t in (n, e, dropped))
