@@ -494,3 +494,23 @@ def test_the_built_graph_judges_each_record_once(spark, tmp_path):
     n, e, dropped = extra.build(spark.read.parquet(path))
     assert n.count() == 2 and dropped.count() == 1 and e.count() == 1
     assert not any(path in t._jdf.queryExecution().optimizedPlan().toString() or any(path in f for f in t.inputFiles()) for t in (n, e, dropped))
+
+
+def test_the_fold_of_first_seen_names_measures_few_pairs(monkeypatch):
+    import random
+
+    rng, ns = random.Random(9), []
+    for _ in range(200):
+        letters = list("ternary feature projection")
+        rng.shuffle(letters)
+        ns.append("".join(letters))
+    measured, lcs_of = [], fuzzy._lcs_of
+    monkeypatch.setattr(fuzzy, "_lcs_of", lambda c, masks, pattern, a, b: measured.append(len(a)) or lcs_of(c, masks, pattern, a, b))
+    every = [True] * len(ns)
+    out, kept = fuzzy.kept_first(ns, [None] * len(ns), every, every, 85.0).tolist(), []
+    for i, x in enumerate(ns):
+        want = next((k for k in kept if round(fuzzy.ratio(x, ns[k])) >= 85), -1)
+        assert out[i] == want
+        if want < 0:
+            kept.append(i)
+    assert sum(measured) < 0.6 * len(ns) ** 2
