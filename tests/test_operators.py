@@ -514,3 +514,44 @@ def test_the_fold_of_first_seen_names_measures_few_pairs(monkeypatch):
         if want < 0:
             kept.append(i)
     assert sum(measured) < 0.6 * len(ns) ** 2
+
+
+def _shuffled(plan) -> int:
+    """Rows written by the shuffles of an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "ShuffleExchangeExec":
+        n = plan.metrics().get("shuffleRecordsWritten").get().value()
+    else:
+        n = 0
+    inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    below = [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    return n + sum(_shuffled(x) for x in below)
+
+
+def test_chains_are_not_shuffled(spark):
+    n = 24
+    arcs = spark.createDataFrame([(f"{k}{i:02d}", f"{k + 1}{j:02d}") for k in range(3) for i in range(n) for j in range(n)], "a string, b string")
+    c = graph.chains(arcs)
+    got = c.collect()
+    assert len({r.path for r in got}) == len(got) == n**4 + n**3 + n**2 and {r.hops for r in got} == {1, 2, 3}
+    assert _shuffled(c._jdf.queryExecution().executedPlan()) < 2 * n**3  # fewer than the paths of two steps
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_chains_equal_brute_force_in_pieces(spark, monkeypatch, hops):
+    import random
+
+    monkeypatch.setattr(graph, "PIECE", 2)
+    rng = random.Random(hops)
+    arcs = [(rng.choice("abcdefg>é"), rng.choice("abcdefg>é")) for _ in range(45)] + [(None, "a"), ("a", None)]
+    succ: dict = {}
+    for a, b in arcs:
+        if a and b and a != b:
+            succ.setdefault(a, set()).add(b)
+
+    def paths(p):
+        more = [x for x in succ.get(p[-1], ()) if x not in p]
+        return [p] if len(p) > hops or len(p) > 1 and not more else [q for x in more for q in paths([*p, x])]
+
+    want = sorted((p[0], ">".join(p), len(p) - 1) for a in succ for p in paths([a]))
+    assert sorted(map(tuple, graph.chains(spark.createDataFrame(arcs, "a string, b string"), hops).collect())) == want
